@@ -4,7 +4,7 @@ Trusted positives are labelled documents of quality 1, the unlabelled are web te
 quality 0 are never learned from. A text is described by FEATURES numbers about its bytes, words and
 lines, computed once for every document and stored. A first classifier of positives against unlabelled
 ranks all documents; over the histogram of all of them, the class prior is the least ratio of unlabelled to
-positive shares above a threshold, with a margin for the sampling error. The final classifier, logistic
+positive shares above a threshold that at least half of the positives reach. The final classifier, logistic
 on features, their squares and their products with the strongest, minimises the non-negative risk at that prior.
 
 Both are fitted on at most SAMPLE positives and SAMPLE unlabelled rows, chosen by hashed ids.
@@ -102,9 +102,8 @@ def prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The class prior from two histograms of a ranking, low to high: least ratio of the shares above a bin."""
     above_p, above_u = np.cumsum(positive[::-1]), np.cumsum(unlabelled[::-1])
     n, m = max(1, above_p[-1]), max(1, above_u[-1])
-    margin = np.sqrt(np.log(40) / (2 * n)) + np.sqrt(np.log(40) / (2 * m))
-    enough = above_p >= max(1, 0.2 * n)
-    return float(np.clip(np.min((above_u[enough] / m + margin) / (above_p[enough] / n), initial=1.0), 0.05, 0.98))
+    enough = above_p >= max(1, 0.5 * n)
+    return float(np.clip(np.min((above_u[enough] / m) / (above_p[enough] / n), initial=1.0), 0.05, 0.98))
 
 
 def nonnegative(p: np.ndarray, u: np.ndarray, pi: float) -> Linear:
