@@ -3,13 +3,16 @@
 Every document's word shingles give a set; equal sets are collapsed first. The distinct sets are then
 branched into trees of nodes by minwise tokens: a node is a path of (hash function, minimum) choices,
 and which functions a node branches on follows from its path alone, so that two sets which share a node
-choose the same ones. Nodes with few sets are compared exhaustively, larger ones branch further. Sets in
-large nodes are also compared with the node's pivot, so that groups of copies link as stars. What is
-left in the deepest large nodes, sets not yet in one component, is compared exhaustively across
-components. A 128-bit sketch filters each comparison; whatever passes is confirmed on full sets.
+choose the same ones. Nodes with few sets are compared exhaustively: a 128-bit sketch filters the pairs,
+and what passes is confirmed on full sets. A larger node whose sets all look like its pivot by that sketch is
+dense, a group of near copies, and branches no further; any other large node branches.
 
-Recall: a pair with similarity 0.8 shares at least one of TREES = 12 roots but for 0.2^12 = 4e-9, and
-keeps at least one of three children of a shared node but for 0.008; the sketch loses it with 4e-6.
+Dense nodes that share a set are one cluster. A cluster is dealt into blocks of at most about BLOCK sets, and
+each pair of blocks is compared exhaustively on full sets in a task of its own, which returns a spanning forest
+of the links and not the links: no pair is lost, none but a forest's are emitted.
+
+Recall: a pair with similarity 0.8 shares at least one of TREES = 12 roots but for 0.2^12 = 4e-9; a shared
+root keeps a shared leaf with probability 0.75 at any depth, which all 12 fail with 6e-8; the sketch loses a pair with 4e-6.
 
 Defined cases: null or empty text, or one without words: no shingles, linked with nothing, component_id
 is its own doc_id and it is kept. Rows that repeat (same or other doc_id, same set) are one component,
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from revloom.llm import shingles as S
 from revloom.llm.common import bitmap_position, components, id_bitmap, map_rows, store
 
-TREES, CHILDREN, SMALL, DEPTH, FAR = 12, 3, 16, 5, 31
+TREES, CHILDREN, SMALL, DEPTH, FAR, DENSE, BLOCK = 12, 2, 16, 6, 31, 44, 256
 
 
 def _sketches(k: int):
@@ -59,17 +62,68 @@ def _sets(k: int, bitmap):
     return make
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, id_type: str) -> DataFrame:
-    """Those of the pairs (a, b) of class ids whose full sets are similar enough."""
-    ids = pairs.selectExpr("explode(array(a, b)) AS cid").distinct()
-    wanted = store(classes.join(ids, "cid", "left_semi"))
+def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int, id_type: str) -> DataFrame:
+    """(cid, items): the full sets of the class ids in ids (cid)."""
+    wanted = store(classes.join(ids.distinct(), "cid", "left_semi"))
     bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "low"))
     found = map_rows(docs.withColumn("p", bitmap_position("doc_id")), _sets(k, bitmap), f"low {id_type}, d1 long, d2 long, n_shingles long, items array<long>")
-    keys = ["d1", "d2", "n_shingles"]
-    sets = store(found.join(wanted.selectExpr(*keys, "low", "cid"), [*keys, "low"]).dropDuplicates(["cid"]).select("cid", "items"))
-    with_a = pairs.join(sets.selectExpr("cid AS a", "items AS ia"), "a")
-    both = with_a.join(sets.selectExpr("cid AS b", "items AS ib"), "b").selectExpr("a", "b", "CAST(size(array_intersect(ia, ib)) AS BIGINT) AS i", "CAST(size(ia) + size(ib) AS BIGINT) AS t")
-    return store(both.where(f"100 * i >= {percent} * (t - i)").select("a", "b"))
+    keys = ["d1", "d2", "n_shingles", "low"]
+    return store(found.join(wanted.select(*keys, "cid"), keys).dropDuplicates(["cid"]).select("cid", "items"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of class ids whose full sets are similar enough."""
+    both = pairs.join(sets.selectExpr("cid AS a", "items AS ia"), "a").join(sets.selectExpr("cid AS b", "items AS ib"), "b")
+    both = both.selectExpr("a", "b", "CAST(size(array_intersect(ia, ib)) AS BIGINT) AS i", "CAST(size(ia) + size(ib) AS BIGINT) AS t")
+    return both.where(f"100 * i >= {percent} * (t - i)").select("a", "b")
+
+
+def forest(items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(first, other) for each set that links join to an earlier one; first is the smallest index of its component."""
+    n, size = len(items), np.array([len(x) for x in items])
+    value, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    common = count[column] > 1
+    row, column = row[common], (np.cumsum(count > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        a, b = np.searchsorted(column, [lo, lo + 8192])
+        m = np.zeros((n, 8192), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        shared += m @ m.T
+    link = 100 * shared.astype(np.int64) >= percent * (size[:, None] + size[None] - shared.astype(np.int64))
+    out, left = [], np.ones(n, bool)
+    for i in range(n):
+        if left[i]:
+            left[i], edge = False, [i]
+            while edge:
+                near = np.flatnonzero(link[edge.pop()] & left)
+                left[near] = False
+                out.extend((i, int(x)) for x in near)
+                edge.extend(near.tolist())
+    return out
+
+
+def _clusters(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the components within each cluster of dense nodes (node, cid)."""
+    first = dense.groupBy("node").agg(F.min("cid").alias("a"))
+    roots = components(dense.join(first, "node").selectExpr("a", "cid AS b"))
+    member = roots.union(roots.select("root", "root").distinct()).toDF("cid", "root").distinct()
+    blocks = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    member = member.join(blocks, "root").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
+    dealt = member.selectExpr("root", "cid", "explode(transform(sequence(0, n - 1), j -> struct(least(mine, j) AS i, greatest(mine, j) AS j))) AS at").select("root", "cid", "at.*")
+
+    def compare(group):
+        import pandas as pd
+
+        group = group.sort_values("cid")
+        cid = group["cid"].to_numpy()
+        links = forest(group["items"].tolist(), percent)
+        return pd.DataFrame({"a": [cid[x] for x, _ in links], "b": [cid[y] for _, y in links]})
+
+    return dealt.join(sets, "cid").groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -84,44 +138,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = store(sk.join(classes.select("cid"), F.col("rid") == F.col("cid")).select("cid", "n_shingles", "b1", "b2", "sig"))
     sig = reps.select("cid", "sig")
 
-    levels, deep = [], None
     rows = sig.selectExpr("cid", f"posexplode(slice(sig, 1, {TREES})) AS (f, v)").selectExpr("xxhash64(f, v) AS node", "cid")
+    look = reps.select("cid", "n_shingles", "b1", "b2")
+    few, dense = [], []
     for depth in range(1, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min(F.xxhash64("node", "cid")).alias("h")).where("m > 1")
         level = store(rows.join(sizes, "node").selectExpr("node", "cid", "m", "xxhash64(node, cid) = h AS pivot"))
-        levels.append(level)
+        few.append(level.where(f"m <= {SMALL}").select("node", "cid"))
         big = level.where(f"m > {SMALL}")
         if big.isEmpty():
             break
-        if depth == DEPTH:
-            deep = big.select("node", "cid")
+        big = big.join(look, "cid")
+        pivots = big.where("pivot").selectExpr("node", "b1 AS p1", "b2 AS p2").dropDuplicates(["node"])
+        told = store(big.join(pivots, "node").selectExpr("node", "cid", "bit_count(b1 ^ p1) + bit_count(b2 ^ p2) AS far"))
+        alike = told.groupBy("node").agg(F.max("far").alias("most")).withColumn("alike", F.col("most") <= DENSE)
+        told = told.join(alike, "node")
+        last = depth == DEPTH
+        dense.append(told.where("alike" + f" OR far <= {FAR}" * last).select("node", "cid"))
+        if last:
             break
         child = f"transform(sequence(1, {CHILDREN}), j -> xxhash64(node, j, sig[CAST(pmod(xxhash64(node, j, 'at'), {S.FUNCTIONS}) AS INT)]))"
-        rows = big.select("node", "cid").join(sig, "cid").selectExpr(f"explode({child}) AS node", "cid").distinct()
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.union(level)
-    every = every.join(reps.select("cid", "n_shingles", "b1", "b2"), "cid")
-
-    def near(x: str, y: str) -> str:
-        return f"bit_count({x}.b1 ^ {y}.b1) + bit_count({x}.b2 ^ {y}.b2) <= {FAR} AND 100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles)"
-
-    def between(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-        joined = left.alias("x").join(right.alias("y"), F.expr(f"x.node = y.node AND {condition} AND {near('x', 'y')}"))
-        return joined.selectExpr("least(x.cid, y.cid) AS a", "greatest(x.cid, y.cid) AS b")
-
-    small, large = every.where(f"m <= {SMALL}"), every.where(f"m > {SMALL}")
-    pairs = store(between(small, small, "x.cid < y.cid").union(between(large, large.where("pivot"), "x.cid <> y.cid")).distinct())
-    links = _verify(docs, classes, pairs, k, percent, id_type)
+        rows = told.where("NOT alike").select("node", "cid").join(sig, "cid").selectExpr(f"explode({child}) AS node", "cid").distinct()
+
+    def every(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.union(x)
+        return out
+
+    small = every(few).join(look, "cid")
+    near = f"bit_count(x.b1 ^ y.b1) + bit_count(x.b2 ^ y.b2) <= {FAR} AND 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
+    pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.node = y.node AND x.cid < y.cid AND {near}")).selectExpr("x.cid AS a", "y.cid AS b")
+    pairs = store(pairs.distinct())
+    ids = pairs.selectExpr("a AS cid").union(pairs.select("b"))
+    dense = store(every(dense).distinct()) if dense else None
+    sets = _full_sets(docs, classes, ids.union(dense.select("cid")) if dense else ids, k, id_type)
+    links = _similar(pairs, sets, percent)
+    if dense:
+        links = links.union(_clusters(dense, sets, percent))
     roots = components(links)
-    if deep is not None:
-        named = deep.join(roots.withColumnRenamed("id", "cid"), "cid", "left").selectExpr("node", "cid", "coalesce(root, cid) AS root")
-        split = named.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("node")
-        named = store(named.join(split, "node", "left_semi").join(reps.select("cid", "n_shingles", "b1", "b2"), "cid"))
-        if not named.isEmpty():
-            more = store(between(named, named, "x.root < y.root").distinct().join(pairs, ["a", "b"], "left_anti"))
-            if not more.isEmpty():
-                roots = components(links.union(_verify(docs, classes, more, k, percent, id_type)))
     named = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(least, "root").select(*keys, "component_id")
