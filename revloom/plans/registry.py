@@ -1,2 +1,12 @@
-QUERIES = {}
-ORACLES = {}
+"""Every query of the engine by name, and the oracle of each that SQL expresses."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from revloom.plans import declarative, kernel_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = declarative.QUERIES | kernel_queries.QUERIES
+ORACLES: dict[str, str] = declarative.ORACLES | kernel_queries.ORACLES
