@@ -5,7 +5,8 @@ branched into trees of nodes by minwise tokens: a node is a path of (hash functi
 and which functions a node branches on follows from its path alone, so that two sets which share a node
 choose the same ones. Nodes with few sets are compared exhaustively: a 128-bit sketch filters the pairs,
 and what passes is confirmed on full sets. A larger node whose sets all look like its pivot by that sketch is
-dense, a group of near copies, and branches no further; any other large node branches.
+dense, a group of near copies, and branches no further. In any other large node the sets near the pivot are dense and
+the rest branch; those nearest of all (CORE) don't, as a set close enough to them would itself be near the pivot.
 
 Dense nodes that share a set are one cluster. A cluster is dealt into blocks of at most about BLOCK sets, and
 each pair of blocks is compared exhaustively on full sets in a task of its own, which returns a spanning forest
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from revloom.llm import shingles as S
 from revloom.llm.common import bitmap_position, components, id_bitmap, map_rows, store
 
-TREES, CHILDREN, SMALL, DEPTH, FAR, DENSE, BLOCK = 12, 2, 16, 6, 31, 44, 256
+TREES, CHILDREN, SMALL, DEPTH, FAR, DENSE, CORE, BLOCK = 12, 2, 16, 6, 31, 44, 26, 256
 
 
 def _sketches(k: int):
@@ -154,11 +155,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         alike = told.groupBy("node").agg(F.max("far").alias("most")).withColumn("alike", F.col("most") <= DENSE)
         told = told.join(alike, "node")
         last = depth == DEPTH
-        dense.append(told.where("alike" + f" OR far <= {FAR}" * last).select("node", "cid"))
+        dense.append(told.where(f"alike OR far <= {FAR}").select("node", "cid"))
         if last:
             break
         child = f"transform(sequence(1, {CHILDREN}), j -> xxhash64(node, j, sig[CAST(pmod(xxhash64(node, j, 'at'), {S.FUNCTIONS}) AS INT)]))"
-        rows = told.where("NOT alike").select("node", "cid").join(sig, "cid").selectExpr(f"explode({child}) AS node", "cid").distinct()
+        rows = told.where(f"NOT alike AND far > {CORE}").select("node", "cid").join(sig, "cid").selectExpr(f"explode({child}) AS node", "cid").distinct()
 
     def every(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
