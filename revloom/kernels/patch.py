@@ -117,6 +117,9 @@ def _parent(root: list, path: str, make: str | None):
                 at = len(node) - 1
             elif _INDEX.match(k) and int(k) < len(node):
                 at = int(k)
+            elif make == "array" and k == "0" and not node:
+                node.append(None)
+                at = 0
             else:
                 return None, ks[-1]
             holder, node = node, node[at]
