@@ -27,32 +27,41 @@ _END = re.compile(r"(?<=[.!?])(?=[\x20\x09-\x0D])|(?<=\n)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of each sentence with a word in it; together with the gaps before them they cover the text."""
-    out, at = [], 0
+def _cut(text: str | None) -> tuple[list[tuple[int, int]], list[int]]:
+    """(start, end) of each sentence with a word in it, and how many words each has."""
+    out, sizes, at = [], [], 0
     for m in [*_END.finditer(text or ""), None]:
         end = m.start() if m else len(text or "")
-        words = [w.span() for w in _WORD.finditer(text or "", at, end)]
-        if len(words) > LONGEST:
+        n = len(_WORD.findall(text or "", at, end))
+        if n > LONGEST:
             hashes, first = S.word_hashes(text[at:end]), 0
-            for j in range(len(words) - 1):
-                if int(hashes[j]) % 8 == 0 and j + 1 - first >= 4:
-                    out.append((at, words[j][1]))
-                    at, first = words[j][1], j + 1
-        if words:
+            ends = [w.end() for w in _WORD.finditer(text, at, end)]
+            for j in (np.flatnonzero(hashes[:-1] % np.uint64(8) == 0)).tolist():
+                if j + 1 - first >= 4:
+                    out.append((at, ends[j]))
+                    sizes.append(j + 1 - first)
+                    at, first = ends[j], j + 1
+            n -= first
+        if n:
             out.append((at, end))
+            sizes.append(n)
             at = end
-    return out
+    return out, sizes
+
+
+def sentences(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of each sentence with a word in it; together with the gaps before them they cover the text."""
+    return _cut(text)[0]
 
 
 def runs(text: str | None, span: int = SPAN, least: int = LEAST) -> list[tuple[int, int, bool]]:
     """(hash, first sentence, whether it's the text's first run with this hash) of each run of sentences."""
-    cut = sentences(text)
+    cut, sizes = _cut(text)
     if len(cut) < span:
         return []
     words = S.word_hashes(text)
-    # a cut never divides a word, so words are counted by sentence and not hashed again
-    counts = np.cumsum([0, *(len(_WORD.findall(text, a, b)) for a, b in cut)])
+    # a cut never divides a word, so the words of the whole text are hashed once
+    counts = np.cumsum([0, *sizes])
     with np.errstate(over="ignore"):
         n = int(counts[-1])
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(words[:n] * S._power("up", n)[:n], dtype=np.uint64)])
