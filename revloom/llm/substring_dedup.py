@@ -111,7 +111,7 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataF
     """doc_id, text without repeated spans, n_sentences, n_removed, removed (their numbers)."""
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = map_rows(docs, _hashes(span, least), f"doc_id {id_type}, h long, at int, first boolean")
+    spans = store(map_rows(docs, _hashes(span, least), f"doc_id {id_type}, h long, at int, first boolean"))  # read twice
     many = store(spans.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "owner"))
     again = spans.join(many, "h").where("NOT first OR NOT (doc_id <=> owner)")
     at = store(again.groupBy("doc_id").agg(F.collect_set("at").alias("at")))

@@ -111,6 +111,20 @@ def test_substring():
     assert [h for h, _, _ in substring_dedup.runs(passage)] == [h for h, _, _ in substring_dedup.runs("Other words. " + passage)][1:2]
 
 
+def test_substring_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    lines = [f"Sentence {i} has words number {i * 7} and {i * 11}." for i in range(60)]
+    texts = {i: " ".join(lines[a : a + 12]) if i % 3 else f"Text {i} alone." for i in range(60) for a in [rng.randrange(48)]}
+    runs = {i: substring_dedup.runs(t) for i, t in texts.items()}
+    owner = {h: min(i for i in runs if any(x[0] == h for x in runs[i])) for r in runs.values() for h, _, _ in r}
+    out = {r.doc_id: sorted(r.removed) for r in substring_dedup.drop_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, r in runs.items():
+        assert out[i] == sorted({x for h, at, first in r if not first or owner[h] != i for x in range(at, at + substring_dedup.SPAN)})
+    assert any(out.values())
+
+
 def test_classifiers(spark):
     texts = [(i, ("bad idiot text " if i % 4 == 0 else "good clean text ") * 3 + f"word{i % 100}") for i in range(200)]
     junk = [(i + 200, "### $$$ %%% " * 9) for i in range(60)]
