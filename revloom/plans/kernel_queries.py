@@ -12,7 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from revloom.kernels import delta, fields, ordering, patch
+from revloom.kernels import delta, fields, ordering, patch, transform
 from revloom.session import prepare
 from revloom.sources.logs import spark_statement, with_logs
 
@@ -126,3 +126,106 @@ def _micro(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
 
 
 _per_group("micro_state", "SELECT * FROM oplog", ["doc_id"], "doc_id long, state string", _micro)
+
+
+# --- operational transform: changes of one document against what was committed beside them (F1 to F9) ---------
+_BY_DOC = "SELECT *, rev AS seq FROM concurrent"
+
+
+def _changes(pdf: pd.DataFrame) -> list[dict]:
+    return [{"id": int(i), "rev": int(r), "base_rev": int(b), "ops": json.loads(o)} for i, r, b, o in zip(pdf["id"], pdf["rev"], pdf["sent_base"], pdf["ops"])]
+
+
+def _committed(sent: list[dict]) -> list[dict]:
+    log: list[dict] = []
+    for q in sent:
+        log, _ = transform.commit(log, [q])
+    return log
+
+
+def _commit_flat(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    state: dict = {}
+    for c in _committed(_changes(pdf)):
+        state = patch.apply(state, c["ops"], strict=True)
+    return [(key[0], f"/{k}", v) for k, v in state.items()]
+
+
+_per_group("ot_commit", _BY_DOC, ["doc_id"], "doc_id long, path string, value long", _commit_flat, "SELECT doc_id, path, arg_max(k, rev) AS value FROM concurrent GROUP BY doc_id, path")
+
+
+def _commit_list(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    state: dict = {"l": []}
+    for c in _committed([q | {"ops": [{"op": "add", "path": "/l/0", "value": q["id"]}]} for q in _changes(pdf)]):
+        state = patch.apply(state, c["ops"], strict=True)
+    return [(key[0], i, v) for i, v in enumerate(state["l"], 1)]
+
+
+_per_group("ot_commit_list", _BY_DOC, ["doc_id"], "doc_id long, pos long, id long", _commit_list, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rev DESC) AS pos, id FROM concurrent")
+
+
+def _commit_text(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    sent = [{"id": int(s), "rev": 0, "base_rev": 0, "ops": [{"op": "@txt", "path": "/body", "value": [{"insert": (t or "") + "\n"}]}]} for s, t in zip(pdf["seq"], pdf["text"])]
+    state: dict = {}
+    for c in _committed(sent):
+        state = patch.apply(state, c["ops"], strict=True)
+    return [(key[0], delta.plain(state["body"]))]
+
+
+_per_group(
+    "ot_commit_text",
+    "SELECT * FROM textlog",
+    ["doc_id"],
+    "doc_id long, body string",
+    _commit_text,
+    "SELECT doc_id, string_agg(coalesce(text, ''), chr(10) ORDER BY seq) || chr(10) || chr(10) AS body FROM textlog GROUP BY doc_id",
+)
+
+
+def _rebased(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    rows = _changes(pdf)
+    queue = transform.rebase([c for c in rows if c["rev"] <= 20], [c for c, who in zip(rows, pdf["client_id"]) if who == "c0" and c["rev"] > 10])
+    return [(key[0], q["id"], q["base_rev"], q["rev"]) for q in queue]
+
+
+_per_group(
+    "ot_rebase",
+    _BY_DOC,
+    ["doc_id"],
+    "doc_id long, id long, base_rev long, rev long",
+    _rebased,
+    """SELECT c.doc_id, c.id, least(t.tip, 20) AS base_rev, least(t.tip, 20) + row_number() OVER (PARTITION BY c.doc_id ORDER BY c.rev) AS rev
+      FROM concurrent c JOIN tips t ON c.doc_id = t.doc_id WHERE c.client_id = 'c0' AND c.rev > 20""",
+)
+_per_group(
+    "ot_eject",
+    "SELECT *, rev AS seq FROM concurrent WHERE rev <= 10",
+    ["doc_id"],
+    "doc_id long, id long, rev long",
+    lambda key, pdf: [(key[0], q["id"], q["rev"]) for q in transform.eject({}, _changes(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
+    "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS rev FROM concurrent WHERE rev <= 10 AND rev <> (SELECT least(3, t.tip) FROM tips t WHERE t.doc_id = concurrent.doc_id)",
+)
+
+
+def _frame(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    """A branch's foreign patches advanced through its own queue, which is then discarded (H12)."""
+    rows = _changes(pdf)
+    _, ahead = transform.behind([c for c in rows if c["id"] % 2], [c for c in rows if not c["id"] % 2])
+    return [(key[0], len(ahead), sum(map(len, ahead)))]
+
+
+_per_group("frame_advance", "SELECT *, rev AS seq FROM concurrent WHERE rev <= 30", ["doc_id"], "doc_id long, programs long, n_ops long", _frame)
+
+
+def _reconstruct(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    """Replay that skips and reports a change that fails as a whole."""
+    state, out = {"l": []}, []
+    for r, k in zip(pdf["rev"], pdf["k"]):
+        op = {"op": "add", "path": "/l/-", "value": int(k)} if k % 3 else {"op": "remove", "path": f"/l/{int(k) % 6}"}
+        try:
+            state = patch.apply(state, [op], strict=True)
+        except patch.PatchError as e:
+            out.append((key[0], int(r), str(e)))
+    return out
+
+
+_per_group("skipped_changes", "SELECT *, rev AS seq FROM changelog", ["doc_id"], "doc_id long, rev long, error string", _reconstruct)

@@ -4,7 +4,7 @@ import pytest
 from revloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay"]
+SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject"]
 
 
 def rows(frame):
