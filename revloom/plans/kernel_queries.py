@@ -12,7 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from revloom.kernels import delta, fields, ordering, patch, transform
+from revloom.kernels import delta, fields, lz, ordering, patch, splitting, textlog, transform
 from revloom.session import prepare
 from revloom.sources.logs import spark_statement, with_logs
 
@@ -229,3 +229,59 @@ def _reconstruct(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
 
 
 _per_group("skipped_changes", "SELECT *, rev AS seq FROM changelog", ["doc_id"], "doc_id long, rev long, error string", _reconstruct)
+
+
+# --- sizes, splitting, compression, text logs and the merge guard (J1 to J10, K5, K6, H7) ----------------------------
+def _split(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    """Turns inserted one behind the other, each change cut to 400 bytes; the pieces give the same text."""
+    at, changes, whole = 0, [], {"body": [{"insert": "\n"}]}
+    for s, t in zip(pdf["seq"], pdf["text"]):
+        op = {"op": "@txt", "path": "/body", "value": [*([{"retain": at}] if at else []), {"insert": (t or "") + "\n"}]}
+        at += delta.length({"insert": (t or "") + "\n"})
+        changes.append({"id": f"{key[0]}.{s}", "rev": int(s) + 1, "ops": [op]})
+    parts, report = splitting.split(changes, 400)
+    state = whole
+    for c in parts:
+        state = patch.apply(state, c["ops"], strict=True)
+    return [(key[0], len(changes), len(parts), len(report), delta.plain(state["body"]))]
+
+
+_per_group("split_changes", "SELECT * FROM textlog", ["doc_id"], "doc_id long, changes long, pieces long, oversized long, body string", _split)
+
+
+def _packed(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    out = []
+    for r, o in zip(pdf["rev"], pdf["ops"]):
+        forms = (lz.from_base64(lz.to_base64(o)), lz.from_uri(lz.to_uri(o)), lz.from_utf16(lz.to_utf16(o)), lz.from_bytes(lz.to_bytes(o)))
+        out.append((key[0], int(r), all(x == o for x in forms), o))
+    return out
+
+
+_per_group("lz_round_trip", "SELECT *, rev AS seq FROM changelog", ["doc_id"], "doc_id long, rev long, alike boolean, ops string", _packed, "SELECT doc_id, rev, TRUE AS alike, ops FROM changelog")
+
+
+def _text_log(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    log: list[tuple[int, list[dict]]] = []
+    for rev, t in enumerate(pdf["text"], 1):
+        log.append((rev, textlog.commit(log, 0, [{"insert": (t or "") + "\n"}])))
+    (rev, whole), *_ = textlog.compact(log, len(log))
+    return [(key[0], rev, delta.plain(whole))]
+
+
+_per_group(
+    "text_log",
+    "SELECT * FROM textlog",
+    ["doc_id"],
+    "doc_id long, rev long, body string",
+    _text_log,
+    "SELECT doc_id, count(*) AS rev, string_agg(coalesce(text, ''), chr(10) ORDER BY seq) || chr(10) AS body FROM textlog GROUP BY doc_id",
+)
+
+
+def _guard(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    """Each turn merged into the text of the first one: does it write that text again?"""
+    first = pdf["text"].iloc[0] or ""
+    return [(key[0], int(s), textlog.duplicated(first, [[{"insert": t or ""}]])) for s, t in zip(pdf["seq"], pdf["text"])]
+
+
+_per_group("merge_guard", "SELECT * FROM textlog", ["doc_id"], "doc_id long, seq long, duplicated boolean", _guard)

@@ -4,7 +4,7 @@ import pytest
 from revloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject"]
+SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject", "lz_round_trip", "text_log"]
 
 
 def rows(frame):
@@ -23,3 +23,11 @@ def test_same_as_oracle(spark, name):
 def test_undo_and_compose(spark):
     out = registry.QUERIES["invert_and_compose"](spark, FOLDER).toPandas()
     assert len(out) and out["undone"].all() and out["composed_alike"].all()
+
+
+def test_split_and_guard(spark):
+    out = registry.QUERIES["split_changes"](spark, FOLDER).toPandas()
+    want = {r.doc_id: r.body for r in registry.QUERIES["text_replay"](spark, FOLDER).collect()}
+    assert (out["oversized"] == 0).all() and (out["pieces"] >= out["changes"]).all() and dict(zip(out["doc_id"], out["body"])) == want
+    told = registry.QUERIES["merge_guard"](spark, FOLDER).toPandas()
+    assert told["duplicated"].any() and not told["duplicated"].all()
