@@ -2,9 +2,11 @@
 
 A text is cut into sentences, after a full stop, exclamation or question mark that white space follows and at line
 ends; a sentence of over LONGEST words is cut further, after words whose hash says so, so that the
-same words are cut alike wherever they stand. Every run of SPAN consecutive sentences with at least
-LEAST words is hashed over its lower-cased words. The runs of all documents are joined globally: the one
-in the smallest doc_id that is first there stays, and every sentence that any other one covers goes.
+same words are cut alike wherever they stand. From every sentence on, and back from every sentence, the
+shortest run of at least SPAN sentences and LEAST words is hashed over its lower-cased words: short
+sentences make a run longer, none is left out. So whatever repeats with SPAN sentences and LEAST words
+or more is covered by runs that lie within it, to its last sentence. The runs of all documents are joined globally:
+the one in the smallest doc_id that is first there stays, and every sentence that any other one covers goes.
 
 Defined cases: null text stays null and has no sentences; an empty text stays empty. Rows that share a
 doc_id are one document: none of them is a repetition of the other. A null doc_id never holds the first
@@ -54,47 +56,57 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return _cut(text)[0]
 
 
-def runs(text: str | None, span: int = SPAN, least: int = LEAST) -> list[tuple[int, int, bool]]:
-    """(hash, first sentence, whether it's the text's first run with this hash) of each run of sentences."""
+def _runs(text: str | None, span: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of sentences: hash, first sentence, the one after its last, whether it's the text's first with this hash."""
     cut, sizes = _cut(text)
-    if len(cut) < span:
-        return []
+    k = len(cut)
+    if k < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     words = S.word_hashes(text)
     # a cut never divides a word, so the words of the whole text are hashed once
     counts = np.cumsum([0, *sizes])
+    each = np.arange(k + 1)
+    end = np.maximum(each + span, np.searchsorted(counts, counts + least))  # of the run from a sentence on
+    begin = np.minimum(each - span, np.searchsorted(counts, counts - least, "right") - 1)  # of the run before it
+    on, back = end <= k, begin >= 0
+    at, end = np.divmod(np.unique(np.concatenate([each[on] * (k + 1) + end[on], begin[back] * (k + 1) + each[back]])), k + 1)
     with np.errstate(over="ignore"):
         n = int(counts[-1])
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(words[:n] * S._power("up", n)[:n], dtype=np.uint64)])
-        a, b = counts[:-span], counts[span:]
+        a, b = counts[at], counts[end]
         h = S.mix((prefix[b] - prefix[a]) * S._power("down", n + 1)[a] + (b - a).astype(np.uint64)).view(np.int64)
-    seen: set[int] = set()
-    out = []
-    for j in np.flatnonzero(b - a >= least).tolist():
-        out.append((int(h[j]), j, int(h[j]) not in seen))
-        seen.add(int(h[j]))
-    return out
+    first = np.zeros(len(h), bool)
+    first[np.unique(h, return_index=True)[1]] = True
+    return h, at, end, first
+
+
+def runs(text: str | None, span: int = SPAN, least: int = LEAST) -> list[tuple[int, int, bool]]:
+    """(hash, first sentence, whether it's the text's first run with this hash) of each run of sentences."""
+    h, at, _, first = _runs(text, span, least)
+    return list(zip(h.tolist(), at.tolist(), first.tolist()))
 
 
 def _hashes(span: int, least: int):
     def make(batches):
         for b in batches:
-            out = {c: [] for c in ("doc_id", "h", "at", "first")}
+            out = {c: [] for c in ("doc_id", "h", "at", "end", "first")}
             for i, text in zip(b["doc_id"], b["text"]):
-                for h, at, first in runs(text, span, least):
-                    for c, v in zip(out, (i, h, at, first)):
-                        out[c].append(v)
+                found = _runs(text, span, least)
+                out["doc_id"] += [i] * len(found[0])
+                for c, v in zip(("h", "at", "end", "first"), found):
+                    out[c] += v.tolist()
             yield out
 
     return make
 
 
-def _rebuild(span: int, columns: list[str]):
+def _rebuild(columns: list[str]):
     def make(batches):
         for b in batches:
             b["n_sentences"], b["removed"], b["cleaned"] = [], [], []
             for text, at in zip(b["text"], b["at"]):
                 cut = sentences(text)
-                gone = sorted({j for a in at or () for j in range(a, a + span)})
+                gone = sorted({j for x in at or () for j in range(x >> 32, x & 0xFFFFFFFF)})
                 b["n_sentences"].append(len(cut))
                 b["removed"].append(gone)
                 if not gone:
@@ -111,9 +123,9 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataF
     """doc_id, text without repeated spans, n_sentences, n_removed, removed (their numbers)."""
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = store(map_rows(docs, _hashes(span, least), f"doc_id {id_type}, h long, at int, first boolean"))  # read twice
+    spans = store(map_rows(docs, _hashes(span, least), f"doc_id {id_type}, h long, at int, end int, first boolean"))  # read twice
     many = store(spans.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "owner"))
     again = spans.join(many, "h").where("NOT first OR NOT (doc_id <=> owner)")
-    at = store(again.groupBy("doc_id").agg(F.collect_set("at").alias("at")))
-    out = map_rows(docs.join(at, docs.doc_id.eqNullSafe(at.doc_id), "left").select(docs.doc_id, "text", "at"), _rebuild(span, docs.columns), f"doc_id {id_type}, cleaned string, n_sentences int, removed array<int>")
+    at = store(again.groupBy("doc_id").agg(F.collect_set(F.expr("shiftleft(CAST(at AS BIGINT), 32) + end")).alias("at")))
+    out = map_rows(docs.join(at, docs.doc_id.eqNullSafe(at.doc_id), "left").select(docs.doc_id, "text", "at"), _rebuild(docs.columns), f"doc_id {id_type}, cleaned string, n_sentences int, removed array<int>")
     return out.select("doc_id", F.col("cleaned").alias("text"), "n_sentences", F.size("removed").alias("n_removed"), "removed")

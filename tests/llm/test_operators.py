@@ -125,6 +125,30 @@ def test_substring_against_brute_force(spark):
     assert any(out.values())
 
 
+def test_substring_of_short_lines(spark):
+    import random
+
+    rng = random.Random(9)
+    verse = "".join(f"la{i} lo{i}\n" for i in range(30))
+    tail = "Ten words stand in this one long sentence of ours.\nYes\nNo\nWhy\nNot\n"  # its last lines hold under 8 words
+    texts = {i: f"Opening {i} alone\n" + (verse if i % 2 else tail) + f"Closing {i} alone\n" for i in range(8)}
+    texts |= {i: "".join(rng.choice(["one\n", "two three\n", "four five six seven eight\n"]) for _ in range(40)) for i in range(8, 14)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in substring_dedup.drop_repeats(df).collect()}
+    assert [out[i].text for i in (0, 1, 2, 3)] == [texts[0], texts[1], "Opening 2 alone\nClosing 2 alone\n", "Opening 3 alone\nClosing 3 alone\n"]
+    # brute force: a sentence goes if a stretch of 3 sentences and 8 words or more around it stands elsewhere before
+    words = {i: [t[a:b].lower().split() for a, b in substring_dedup.sentences(t)] for i, t in texts.items()}
+    seen, gone = set(), {i: set() for i in texts}
+    for i, s in words.items():
+        for a in range(len(s)):
+            for b in range(a + 3, min(len(s), a + 12) + 1):
+                run = tuple(w for x in s[a:b] for w in x)
+                if len(run) >= 8:
+                    gone[i] |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+    assert {i: set(out[i].removed) for i in texts} == gone
+
+
 def test_classifiers(spark):
     texts = [(i, ("bad idiot text " if i % 4 == 0 else "good clean text ") * 3 + f"word{i % 100}") for i in range(200)]
     junk = [(i + 200, "### $$$ %%% " * 9) for i in range(60)]
