@@ -5,10 +5,13 @@ chosen to minimise the residual's squared length plus ETA - 1 times its squared
 vector, which is what errs in inner products of near vectors: codes by coordinate descent, centres by a
 least-squares solution over all subspaces at once, both on a bounded sample of SAMPLE vectors. Every
 vector is encoded. A query block scans a block of codes with tables of inner products, two codes to a
-lookup; the best RERANK of each block are ranked again by exact cosines in double precision.
+lookup; the best RERANK of each block are ranked again by exact cosines in double precision, and so is every other
+vector whose score, with a bound on its error, reaches the last of those that count. So a block loses none of a query's
+nearest, however many vectors share their codes. For the bound each vector x keeps its residual's part e along x and
+length p across it: a query with cosine s to x scores s (1 - e) - p sqrt(1 - s^2) at least.
 
-Equal vectors are collapsed before the search and expanded after it, so that a vector which a third of all rows
-share is scanned once; its TOP + 1 smallest ids are all that can be among a query's nearest.
+Vectors of one direction (positive multiples) are collapsed before the search and expanded after it, so that a
+direction which a third of all rows share is scanned once; its TOP + 1 smallest ids are all that can be among a query's nearest.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 those of another length than the most frequent. Ties go to the smaller vec_id. Rows that repeat a vec_id with the same vector are
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from revloom.llm.common import map_rows, store
 
 SAMPLE, CENTRES, ETA, RERANK, ROWS, QUERIES, TOP = 8192, 16, 2.6, 160, 8192, 512, 5
+SLACK = 1e-4  # for rounding: scores are sums in single precision
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -80,12 +84,17 @@ class Quantiser:
         b = ETA * v.sum(0) + 1e-3 * self.c.reshape(-1)  # S'Wx = S'x + (eta - 1) S'x |x|^2, and x is a unit vector
         self.c = np.linalg.solve(a, b).reshape(self.c.shape)
 
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        """Two codes to a byte."""
-        code = self._codes(self.cut(unit(x))).astype(np.uint8)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two codes to a byte; the residual's part along the vector and its length across."""
+        x = self.cut(unit(x))
+        code = self._codes(x)
+        r = x - self.c[np.arange(x.shape[1]), code]
+        along = (r * x).sum((1, 2))
+        across = np.sqrt(((r - along[:, None, None] * x) ** 2).sum((1, 2)))
+        code = code.astype(np.uint8)
         if code.shape[1] % 2:
             code = np.pad(code, ((0, 0), (0, 1)))
-        return code[:, ::2] << 4 | code[:, 1::2]
+        return code[:, ::2] << 4 | code[:, 1::2], along, across
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(query, byte of code, value) -> part of the inner product."""
@@ -95,10 +104,20 @@ class Quantiser:
         return (t[:, ::2, :, None] + t[:, 1::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
 
 
+def needed(s: float, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """The least score that a vector of cosine s or more can have."""
+    any_way = s - np.hypot(along, across)
+    if s < 0:
+        return any_way - SLACK
+    # grows with s from 0 on where along < 1
+    return np.maximum(any_way, np.where(along < 1, s * (1 - along) - across * np.sqrt(max(0.0, 1 - s * s)), any_way)) - SLACK
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     ok = vectors.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0 AND forall(v, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('Infinity')) AND exists(v, e -> e <> 0)")
     length = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return ok.where(F.size("v") == (length.n if length else 0))
+    # over the largest component, taken once a row: positive multiples of a vector become equal
+    return ok.where(F.size("v") == (length.n if length else 0)).selectExpr("vec_id", "transform(array(array_max(transform(v, x -> abs(x)))), m -> transform(v, e -> e / m))[0] AS v")
 
 
 def nearest(vectors: DataFrame, every: int = 50, top: int = TOP, rerank: int = RERANK) -> DataFrame:
@@ -121,9 +140,10 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = TOP, rerank: int = R
 
     def encoded(batches):
         for b in batches:
-            yield b | {"code": [c.tobytes() for c in quantiser.value.encode(np.array(b["v"]))]}
+            code, along, across = quantiser.value.encode(np.array(b["v"]))
+            yield b | {"code": [c.tobytes() for c in code], "along": along, "across": across}
 
-    base = map_rows(classes, encoded, "cls long, ids array<long>, v array<double>, code binary")
+    base = map_rows(classes, encoded, "cls long, ids array<long>, v array<double>, code binary, along double, across double")
     base = base.withColumns({"block": F.pmod(F.xxhash64("cls"), F.lit(blocks)), "set": F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))})
     some = wanted.withColumns({"set": F.pmod(F.xxhash64("cls"), F.lit(sets)).cast("int"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
 
@@ -132,12 +152,17 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = TOP, rerank: int = R
         if len(q) and len(x):
             code = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1).T.astype(np.intp)
             exact, asked_v = np.stack(x["v"].to_numpy()), np.stack(q["v"].to_numpy())
+            along, across = x["along"].to_numpy(), x["across"].to_numpy()
             norm, lowest, keep = np.linalg.norm(exact, axis=1), np.array([i[0] for i in x["ids"]]), min(len(x), rerank)
             for at in range(0, len(q), 64):
                 for cls, v, t in zip(q["cls"][at : at + 64], asked_v[at : at + 64], quantiser.value.tables(asked_v[at : at + 64])):
                     near = sum(t[j][code[j]] for j in range(len(code)))
                     best = np.argpartition(-near, keep - 1)[:keep]
                     score = (exact[best] @ v) / (norm[best] * np.sqrt(v @ v))
+                    if keep < len(x):
+                        best = np.union1d(best, np.flatnonzero(near >= needed(np.sort(score)[-min(top + 1, keep)], along, across)))
+                        score = ((exact[best] if len(best) < len(x) // 4 else exact) @ v) / np.sqrt(v @ v)
+                        score = (score if len(score) == len(best) else score[best]) / norm[best]
                     for k in np.lexsort((lowest[best], -score))[: top + 1]:
                         out.append((cls, x["ids"].iloc[best[k]], float(score[k])))
         return pd.DataFrame(out, columns=["cls", "ids", "score"])

@@ -167,3 +167,36 @@ def test_nearest(spark):
     out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 0] == [2, 3, 50, 4]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_nearest_in_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = ann.unit(rng.normal(size=(4, 16)))
+    x = np.concatenate([rng.normal(size=(600, 16)), *(c + rng.normal(size=(400, 16)) * 0.0125 for c in centres)]).astype(np.float32)
+    x[5] = x[0] * 2  # one direction
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, rerank=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = ann.unit(x.astype(float))
+    assert sorted(got) == list(range(0, len(x), 50)) and 5 in got[0]
+    for i, ids in got.items():
+        score = u @ u[i]
+        score[i] = -2
+        assert ids == set(np.argsort(-score)[:5].tolist())
+
+
+def test_score_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(500, 15)), rng.normal(size=(40, 15))
+    x[:250] = q[0] + rng.normal(size=(250, 15)) * 0.1
+    quantiser = ann.Quantiser(x)
+    code, along, across = quantiser.encode(x)
+    s, t = ann.unit(x) @ ann.unit(q).T, quantiser.tables(q)
+    for k in range(len(q)):
+        score = sum(t[k][j][code[:, j]] for j in range(code.shape[1]))
+        assert all(score[i] >= ann.needed(s[i, k], along, across)[i] for i in range(len(x)))
