@@ -148,6 +148,14 @@ add(
     """SELECT doc_id, rev, version, 0 AS kind FROM (SELECT doc_id, end_rev AS rev, version FROM versions WHERE origin = 'main') a UNION ALL
       SELECT c.doc_id, c.rev, max(v.version), 1 FROM changelog c LEFT JOIN versions v ON v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= c.rev WHERE c.rev % 10 = 0 GROUP BY c.doc_id, c.rev""",
 )
+# as of every revision; latest_main_version stays as the form that asks for every tenth
+add(
+    "latest_main_version_whole",
+    """SELECT doc_id, rev, last_value(CASE WHEN kind = 0 THEN version END, true) OVER (PARTITION BY doc_id ORDER BY rev, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS version, kind
+      FROM (SELECT doc_id, end_rev AS rev, version, 0 AS kind FROM versions WHERE origin = 'main' UNION ALL SELECT doc_id, rev, NULL, 1 FROM changelog) x""",
+    """SELECT doc_id, rev, version, 0 AS kind FROM (SELECT doc_id, end_rev AS rev, version FROM versions WHERE origin = 'main') a UNION ALL
+      SELECT c.doc_id, c.rev, max(v.version), 1 FROM changelog c LEFT JOIN versions v ON v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= c.rev GROUP BY c.doc_id, c.rev""",
+)
 add("state_at_rev", """SELECT doc_id, path, w.k AS value FROM (SELECT doc_id, path, max_by(struct(k), rev) AS w FROM changelog WHERE rev <= 25 GROUP BY doc_id, path) x""", """SELECT doc_id, path, arg_max(k, rev) AS value FROM changelog WHERE rev <= 25 GROUP BY doc_id, path""")
 add("tail_after_version", "SELECT c.doc_id, c.rev, v.end_rev AS version_rev FROM changelog c JOIN (SELECT doc_id, max(end_rev) AS end_rev FROM versions WHERE origin = 'main' AND end_rev <= 30 GROUP BY doc_id) v ON c.doc_id = v.doc_id WHERE c.rev > v.end_rev AND c.rev <= 30")
 add("version_parents", """t AS (SELECT doc_id, version, CASE WHEN version > 1 THEN version - 1 END AS parent, origin FROM versions),
@@ -202,6 +210,8 @@ add("pending_prefix", "SELECT doc_id, path, seq FROM treelog WHERE path = '/s1'
 _SUBS = "(SELECT DISTINCT client_id, doc_id FROM changelog WHERE rev <= 5)"
 add("broadcast", f"SELECT s.client_id, c.doc_id, c.rev FROM changelog c JOIN {_SUBS} s ON c.doc_id = s.doc_id WHERE s.client_id <> c.client_id AND c.rev > 5")
 add("client_event_log", f"SELECT s.client_id, c.doc_id, c.rev, row_number() OVER (PARTITION BY s.client_id ORDER BY c.created_at, c.id) AS event_no FROM changelog c JOIN {_SUBS} s ON c.doc_id = s.doc_id WHERE s.client_id <> c.client_id AND c.rev > 60")
+# numbers every event that broadcast sends; client_event_log stays as the form over the revisions after 60
+add("client_event_log_whole", f"SELECT s.client_id, c.doc_id, c.rev, row_number() OVER (PARTITION BY s.client_id ORDER BY c.created_at, c.id) AS event_no FROM changelog c JOIN {_SUBS} s ON c.doc_id = s.doc_id WHERE s.client_id <> c.client_id AND c.rev > 5")
 add("cursor_replay", """SELECT client_id, asked, CASE WHEN asked IS NULL OR asked >= next_no THEN 'resync' ELSE 'replay' END AS status FROM (
         SELECT client_id, CASE client_id WHEN 'c0' THEN 10 WHEN 'c1' THEN 1000000000 END AS asked, count(*) + 1 AS next_no FROM changelog GROUP BY client_id) x""")
 add("retention_trim", "SELECT client_id, count(*) AS kept FROM changelog WHERE created_at >= 1705500000000 GROUP BY client_id")

@@ -204,6 +204,15 @@ _per_group(
     lambda key, pdf: [(key[0], q["id"], q["rev"]) for q in transform.eject({}, _changes(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
     "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS rev FROM concurrent WHERE rev <= 10 AND rev <> (SELECT least(3, t.tip) FROM tips t WHERE t.doc_id = concurrent.doc_id)",
 )
+# over the whole queue; ot_eject stays as the form over its first ten
+_per_group(
+    "ot_eject_whole",
+    _BY_DOC,
+    ["doc_id"],
+    "doc_id long, id long, rev long",
+    lambda key, pdf: [(key[0], q["id"], q["rev"]) for q in transform.eject({}, _changes(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
+    "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS rev FROM concurrent WHERE rev <> (SELECT least(3, t.tip) FROM tips t WHERE t.doc_id = concurrent.doc_id)",
+)
 
 
 def _frame(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -213,7 +222,7 @@ def _frame(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], len(ahead), sum(map(len, ahead)))]
 
 
-_per_group("frame_advance", "SELECT *, rev AS seq FROM concurrent WHERE rev <= 30", ["doc_id"], "doc_id long, programs long, n_ops long", _frame)
+_per_group("frame_advance", _BY_DOC, ["doc_id"], "doc_id long, programs long, n_ops long", _frame)
 
 
 def _reconstruct(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
