@@ -9,7 +9,8 @@ or more is covered by runs that lie within it, to its last sentence. The runs of
 the one in the smallest doc_id that is first there stays, and every sentence that any other one covers goes.
 
 Defined cases: null text stays null and has no sentences; an empty text stays empty. Rows that share a
-doc_id are one document: none of them is a repetition of the other. A null doc_id never holds the first
+doc_id are one document: none of them is a repetition of the other; each loses what its own text repeats, as
+positions are kept by doc_id and a hash of the text. A null doc_id never holds the first
 one while a row with an id has it. Ties within a document go to the earlier run.
 """
 
@@ -89,10 +90,11 @@ def runs(text: str | None, span: int = SPAN, least: int = LEAST) -> list[tuple[i
 def _hashes(span: int, least: int):
     def make(batches):
         for b in batches:
-            out = {c: [] for c in ("doc_id", "h", "at", "end", "first")}
-            for i, text in zip(b["doc_id"], b["text"]):
+            out = {c: [] for c in ("doc_id", "key", "h", "at", "end", "first")}
+            for i, key, text in zip(b["doc_id"], b["key"], b["text"]):
                 found = _runs(text, span, least)
                 out["doc_id"] += [i] * len(found[0])
+                out["key"] += [key] * len(found[0])
                 for c, v in zip(("h", "at", "end", "first"), found):
                     out[c] += v.tolist()
             yield out
@@ -121,11 +123,11 @@ def _rebuild(columns: list[str]):
 
 def drop_repeats(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
     """doc_id, text without repeated spans, n_sentences, n_removed, removed (their numbers)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))  # rows equal in both have equal runs
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = store(map_rows(docs, _hashes(span, least), f"doc_id {id_type}, h long, at int, end int, first boolean"))  # read twice
+    spans = store(map_rows(docs, _hashes(span, least), f"doc_id {id_type}, key long, h long, at int, end int, first boolean"))  # read twice
     many = store(spans.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "owner"))
     again = spans.join(many, "h").where("NOT first OR NOT (doc_id <=> owner)")
-    at = store(again.groupBy("doc_id").agg(F.collect_set(F.expr("shiftleft(CAST(at AS BIGINT), 32) + end")).alias("at")))
-    out = map_rows(docs.join(at, docs.doc_id.eqNullSafe(at.doc_id), "left").select(docs.doc_id, "text", "at"), _rebuild(docs.columns), f"doc_id {id_type}, cleaned string, n_sentences int, removed array<int>")
+    at = store(again.groupBy("doc_id", "key").agg(F.collect_set(F.expr("shiftleft(CAST(at AS BIGINT), 32) + end")).alias("at")))
+    out = map_rows(docs.join(at, docs.doc_id.eqNullSafe(at.doc_id) & (docs.key == at.key), "left").select(docs.doc_id, "text", "at"), _rebuild(docs.columns), f"doc_id {id_type}, cleaned string, n_sentences int, removed array<int>")
     return out.select("doc_id", F.col("cleaned").alias("text"), "n_sentences", F.size("removed").alias("n_removed"), "removed")

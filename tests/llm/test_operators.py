@@ -149,6 +149,15 @@ def test_substring_of_short_lines(spark):
     assert {i: set(out[i].removed) for i in texts} == gone
 
 
+def test_substring_rows_of_one_id(spark):
+    passage = "This is one long sentence here.\nAnother sentence follows right after.\nAnd a third one ends it.\n"
+    other = "Nothing of this stands anywhere else.\nNor does this one here at all.\nOnly this row has it.\n"
+    for i in (5, None):
+        rows = [(1, passage), (i, passage), (i, passage), (i, None), (i, ""), (i, other), (i, other + passage)]
+        out = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id == 1, str(r.text).strip()) for r in out) == sorted([(True, passage.strip()), (False, ""), (False, ""), (False, ""), (False, "None"), (False, other.strip()), (False, other.strip())])
+
+
 def test_classifiers(spark):
     texts = [(i, ("bad idiot text " if i % 4 == 0 else "good clean text ") * 3 + f"word{i % 100}") for i in range(200)]
     junk = [(i + 200, "### $$$ %%% " * 9) for i in range(60)]
