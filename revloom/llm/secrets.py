@@ -4,7 +4,7 @@ Base spans are what the three patterns match, leftmost and not overlapping, for
 20 or more characters of the base64 and URL alphabets with a digit and a letter is a candidate. Candidates
 and base values are hashed and aggregated over the corpus by distinct owners (the source) and repositories (the
 document): a value of WIDE or more owners is a widely copied example, any other is specific to its
-owner and looks live. Live candidates outside the base spans become spans of the kind `owned`.
+owner and looks live, however many repositories have it: their number takes no part in the verdict. Live candidates outside the base spans become spans of the kind `owned`.
 
 Positions are code points, ends are exclusive, and come from the lengths of a text's pieces between
 matches and of the matches.
