@@ -13,7 +13,10 @@ each pair of blocks is compared exhaustively on full sets in a task of its own,
 of the links and not the links: no pair is lost, none but a forest's are emitted.
 
 Recall: a pair with similarity 0.8 shares at least one of TREES = 12 roots but for 0.2^12 = 4e-9; a shared
-root keeps a shared leaf with probability 0.75 at any depth, which all 12 fail with 6e-8; the sketch loses a pair with 4e-6.
+root keeps a shared leaf with probability 0.75, which all 12 fail with 6e-8; the sketch loses a pair with 4e-6. That is
+no bound where nodes are still large and mixed at level DEPTH: sets farther than FAR from such a node's pivot are neither
+compared nor branched there. Nor is it one for a set within CORE of a pivot whose partner is beyond FAR. Other nodes and
+trees have to bring those pairs together; README has what was measured.
 
 Defined cases: null or empty text, or one without words: no shingles, linked with nothing, component_id
 is its own doc_id and it is kept. Rows that repeat (same or other doc_id, same set) are one component,
