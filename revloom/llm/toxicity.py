@@ -67,20 +67,34 @@ def _counts(batches):
     yield {"bucket": [-1, *at.tolist()], "neg": [int(docs[0]), *n[0, at].tolist()], "pos": [int(docs[1]), *n[1, at].tolist()]}
 
 
+def logistic(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = PENALTY, positive: float = POSITIVE) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of rows with features (row, col) of value ratio[col]: full-batch Adam on the logistic loss."""
+    scaled, n = ratio[col], len(y)
+    w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    for step in range(1, 301):
+        z = np.bincount(row, scaled * w[col], n) + b
+        g = np.where(y == 1, positive, 1.0) * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
+        gw, gb = np.bincount(col, g[row] * scaled, len(w)) + penalty * w, g.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        f, s = 1 - 0.9**step, 1 - 0.99**step
+        w, b = w - 0.03 * (m / f) / (np.sqrt(v / s) + 1e-8), b - 0.03 * (mb / f) / (np.sqrt(vb / s) + 1e-8)
+    return w, float(b)
+
+
 def fit(train: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, float]:
     """(a weight for each bucket, intercept) from train (text, y)."""
-    rows = map_rows(train.select("text", "y"), _counts, "bucket int, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    c = np.array(rows.collect(), np.int64).reshape(-1, 3)  # 2^BITS + 1 rows at most
+    counts = store(map_rows(train.select("text", "y"), _counts, "bucket int, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     weight = np.zeros(1 << BITS)
-    (n0, n1) = c[c[:, 0] == -1, 1:].sum(axis=0) if len(c) else (0, 0)
+    n0, n1 = counts.where("bucket = -1").select(F.coalesce(F.sum("neg"), F.lit(0)), F.coalesce(F.sum("pos"), F.lit(0))).first()
     if not n0 or not n1:
         return weight, float(np.log((n1 + 1) / (n0 + 1)))
-    c = c[c[:, 0] >= 0]
-    p, q = (c[:, 2] + 1) / (n1 + 2), (c[:, 1] + 1) / (n0 + 2)
-    share = (c[:, 1:].sum(axis=1) + 1) / (n0 + n1 + 2)
-    gain = sum(k * np.log(r / share) + (n - k) * np.log((1 - r) / (1 - share)) for k, n, r in ((c[:, 2], n1, p), (c[:, 1], n0, q)))
-    best = np.lexsort((c[:, 0], -gain))[:features]
-    buckets, ratio = c[best, 0], np.log(p[best] / q[best])
+    shares = {"p": f"(pos + 1) / ({n1} + 2)", "q": f"(neg + 1) / ({n0} + 2)", "both": f"(pos + neg + 1) / ({n0 + n1} + 2)"}
+    ranked = counts.where("bucket >= 0").selectExpr("bucket", "neg", "pos", *[f"{e} AS {c}" for c, e in shares.items()])
+    gain = " + ".join(f"{k} * ln({r} / both) + ({n} - {k}) * ln((1 - {r}) / (1 - both))" for k, n, r in (("pos", n1, "p"), ("neg", n0, "q")))
+    # the gain is ranked where the counts are; only the features themselves reach the driver
+    best = ranked.selectExpr("bucket", "ln(p / q) AS ratio", f"round({gain}, 9) AS gain").orderBy(F.desc("gain"), "bucket").limit(features).select("bucket", "ratio").toArrow()
+    buckets, ratio = best["bucket"].to_numpy(), best["ratio"].to_numpy()
     column = np.full(1 << BITS, -1, np.int32)
     column[buckets] = np.arange(len(buckets))
 
@@ -88,22 +102,12 @@ def fit(train: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, float]:
         for b in batches:
             yield {"y": b["y"], "x": [(z := column[present(t)])[z >= 0] for t in b["text"]]}
 
-    got = map_rows(train.select("text", "y"), chosen, "y int, x array<int>").toArrow()
-    y = got["y"].to_numpy().astype(float)
-    x = [np.asarray(v.as_py(), np.int64) for v in got["x"]]
-    row, col = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x) if x else np.zeros(0, np.int64)
-    scaled = ratio[col]
-    w, b, n = np.zeros(len(buckets)), float(np.log(n1 / n0)), len(y)
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, 301):  # full-batch Adam on the logistic loss
-        z = np.bincount(row, scaled * w[col], n) + b
-        g = np.where(y == 1, POSITIVE, 1.0) * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
-        gw, gb = np.bincount(col, g[row] * scaled, len(w)) + PENALTY * w, g.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        f, s = 1 - 0.9**step, 1 - 0.99**step
-        w, b = w - 0.03 * (m / f) / (np.sqrt(v / s) + 1e-8), b - 0.03 * (mb / f) / (np.sqrt(vb / s) + 1e-8)
+    got = map_rows(train.select("text", "y"), chosen, "y int, x array<int>").toArrow().combine_chunks()  # SAMPLE rows of `features` numbers at most
+    hits = got["x"].combine_chunks()
+    row = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy()))
+    w, b = logistic(row, hits.flatten().to_numpy(), ratio, got["y"].to_numpy().astype(float))
     weight[buckets] = w * ratio
-    return weight, float(b)
+    return weight, b
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
