@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -49,14 +50,38 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, which all executors reach; one of our own only where it is unset and all run on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        own = spark.sparkContext.getCheckpointDir()
-        if not own:
-            made = tempfile.mkdtemp(prefix="revloom-shared-")
-            atexit.register(shutil.rmtree, made, ignore_errors=True)
-            spark.sparkContext.setCheckpointDir(f"file://{made}")
-            own = spark.sparkContext.getCheckpointDir()
-        found = own
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="revloom-shared-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{made}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Hadoop's file systems, wherever it is; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/revloom-{app}"
+    if path not in _ready:
+        _ready.add(path)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+        def clean() -> None:
+            try:  # nothing is lost if the JVM has ended before
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+            except Exception:
+                return
+
+        atexit.register(clean)
+    return path
