@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revloom.session import prepare, shared_folder
+from revloom.session import prepare, remove, run_folder
 
 #: White space between words: space and 0x09 to 0x0D. A word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,8 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: a cut of the lineage that outlives lost executors."""
     spark = df.sparkSession
-    df.write.parquet(path := f"{shared_folder(spark)}/revloom-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path := f"{run_folder(spark)}/{uuid.uuid4().hex}")
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what store() wrote for these frames: nothing that is still to run may read them."""
+    for df in frames:
+        remove(df.sparkSession, df.stored_at)
 
 
 def fold(column: str, modulus: int) -> Column:
@@ -48,41 +56,50 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
+AT_ONCE = 1_000_000
+
+
+def _followed(parts):
+    """(id, root) of all links (a, b) at once: labels go down the links and are halved until none changes."""
+    import numpy as np
+    import pandas as pd
+
+    rows = pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="int64"), *parts])
+    ids, at = np.unique(rows[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(ids))
+    yield pd.DataFrame({"a": ids[other], "b": ids[label[other]]})
+
+
+def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """(id, root) for each id in edges (a, b): root is the smallest id that links reach.
 
-    Alternating large and small stars (Kiveris and others, 2014). Each step is grouped by id with sums
-    that combine before the shuffle and joined back, so that a centre with very many links is split.
+    Up to AT_ONCE links, which are counted first, are followed by one task; more by alternating large and small stars
+    (Kiveris and others, 2014), to the same result. The smallest neighbours are found by sums that
+    combine before the shuffle and are stored, so that the join back has two plain shuffles, of which adaptive
+    execution splits the partition of a centre with very many links.
     """
     edges = store(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     seen = None
     while True:
         both = edges.union(edges.selectExpr("b AS a", "a AS b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").selectExpr("explode(array(struct(b AS a, m AS b), struct(a, m AS b))) AS e").select("e.*").where("a <> b").distinct()
-        edges = store(small)
+        low = store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = store(both.join(low, "a").where("b > a").selectExpr("b AS a", "m AS b").where("a <> b").distinct())
+        least = store(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").selectExpr("explode(array(struct(b AS a, m AS b), struct(a, m AS b))) AS e").select("e.*").where("a <> b").distinct()
+        old, edges = edges, store(small)
+        discard(old, low, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             return edges.selectExpr("a AS id", "b AS root")
         seen = tuple(now)
-
-
-def id_bitmap(df: DataFrame, column: str, bits: int = 1 << 22) -> bytes:
-    """A bitmap of fixed size over the hashes of a column: a row whose bit is unset is not in df.
-
-    At most bits / 64 numbers reach the driver, whatever the input; a full bitmap only filters nothing.
-    """
-    import numpy as np
-
-    at = F.pmod(F.xxhash64(column), F.lit(bits))
-    words = df.select(at.alias("p")).selectExpr("p DIV 64 AS w", "shiftleft(1L, CAST(p % 64 AS INT)) AS v").groupBy("w").agg(F.bit_or("v").alias("v")).collect()
-    out = np.zeros(bits // 64, np.int64)
-    for r in words:
-        out[r.w] = r.v
-    return out.tobytes()
-
-
-def bitmap_position(column: str, bits: int = 1 << 22) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(bits))

@@ -209,3 +209,48 @@ def test_score_bound():
     for k in range(len(q)):
         score = sum(t[k][j][code[:, j]] for j in range(code.shape[1]))
         assert all(score[i] >= ann.needed(s[i, k], along, across)[i] for i in range(len(x)))
+
+
+def _components(texts, k=4):
+    """doc_id -> smallest doc_id that links of 80 of 100 reach, by comparing all pairs."""
+    sets = {i: ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())) for i, t in texts.items() for w in [(t or "").lower().split()]}
+    where, label = {}, {i: i for i in texts}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    for i, s in sets.items():
+        for j in {j for x in s for j in where[x] if j > i}:
+            n = len(s & sets[j])
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return {i: top(i) for i in texts}
+
+
+@pytest.mark.parametrize("kind", ["copies", "shorter and shorter", "few frequent lines", "documents"])
+def test_near_components_against_brute_force(spark, kind):
+    """Nodes larger than SMALL: a text's copies, its beginnings, texts of the same lines; and whole texts of sf0.01."""
+    import random
+
+    rng, base = random.Random(8), [f"b{i}" for i in range(100)]
+    lines = [" ".join(f"l{j}w{i}" for i in range(10)) for j in range(30)]
+    make = {
+        "copies": lambda i: " ".join(w if rng.random() > 0.03 else f"e{rng.random()}" for w in base),
+        "shorter and shorter": lambda i: " ".join(f"b{j}" for j in range(rng.randrange(60, 900))),
+        "few frequent lines": lambda i: " ".join(rng.choice(lines) for _ in range(10)),
+    }
+    if kind == "documents":
+        texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    else:
+        texts = {i: make[kind](i) for i in range(700)}
+        texts |= {i + 700: texts[i].replace(texts[i].split()[5], f"n{i}", 1) for i in range(60)}
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=4).collect()
+    got, want = {r.doc_id: r.component_id for r in out}, _components(texts)
+    assert len(set(want.values())) < len(texts)
+    assert got == want
