@@ -1,7 +1,7 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are labelled documents of quality 1, the unlabelled are web texts without a label; labels of
-quality 0 are never learned from. A text is described by FEATURES numbers about its bytes, words and
+Trusted positives are the documents of quality 1 among the labels to learn from, the unlabelled are all documents that those labels don't
+name; labels of quality 0 are never learned from, and labels not to learn from take no part at all. A text is described by FEATURES numbers about its bytes, words and
 lines, computed once for every document and stored. A first classifier of positives against unlabelled
 ranks all documents; over the histogram of all of them, the class prior is the least ratio of unlabelled to
 positive shares above a threshold that at least half of the positives reach. The final classifier, logistic
@@ -25,31 +25,37 @@ from pyspark.sql import functions as F
 from revloom.llm.common import map_rows, store
 
 SAMPLE, BINS = 20_000, 1000
-_KIND = np.zeros(256, np.uint8)  # 0 other marks, 1 lower case, 2 upper case, 3 digit, 4 space, 5 line end, 6 beyond ASCII, 7 usual marks, 8 ! and ?, 9 |
+_KIND = np.zeros(256, np.uint8)  # 0 other marks, 1 lower case, 2 upper case, 3 digit, 4 space, 5 line end, 6 beyond ASCII, 7 usual marks, 8 ! and ?
 _KIND[ord("a") : ord("z") + 1], _KIND[ord("A") : ord("Z") + 1], _KIND[ord("0") : ord("9") + 1] = 1, 2, 3
 _KIND[[0x20, 0x09]], _KIND[0x0A:0x0E], _KIND[128:] = 4, 5, 6
-_KIND[[ord(c) for c in ".,;:'\"-()"]], _KIND[[ord(c) for c in "!?"]], _KIND[ord("|")] = 7, 8, 9
+_KIND[[ord(c) for c in ".,;:'\"-()"]], _KIND[[ord(c) for c in "!?"]] = 7, 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_LETTER, _ODD = re.compile(rb"[0-9A-Za-z\x80-\xff]"), re.compile(rb"[A-Za-z][^A-Za-z\x80-\xff'.,;:!?\")(-]+[A-Za-z]")
 
 
 def describe(text: str | None) -> np.ndarray:
     """Numbers about a text, mostly shares, as float32."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=10) / max(1, len(raw))
+    kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=9) / max(1, len(raw))
     words = _WORD.findall(raw)
     n = max(1, len(words))
     lines = [x for x in raw.split(b"\n") if x]
     runs = len({b" ".join(words[i : i + 3]) for i in range(len(words) - 2)})
-    marks = sum(w[-3:].strip(b"#$%&*") == b"" for w in words) / n
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    shares = counts[counts > 0] / max(1, len(raw))
+    entropy = -float((shares * np.log2(shares)).sum())
+    marks = sum(not _LETTER.search(w) for w in words) / n
+    inside = sum(_ODD.search(w) is not None for w in words) / n
+    long = max(map(len, words), default=0)
     capitals = sum(w.isupper() for w in words) / n
     first = sum(w[:1].isupper() for w in words) / n
     ends = sum(w[-1:] in b".!?" for w in words) / n
     same = sum(a == b for a, b in zip(words, words[1:])) / n
-    more = [same, np.log1p(len(words)), np.log1p(len(raw) / n), len(set(words)) / n, runs / max(1, len(words) - 2), len(set(lines)) / max(1, len(lines)), marks, capitals, first, ends, sum(w == b"|" for w in words) / n, np.log1p(n / max(1, len(lines)))]
+    more = [same, np.log1p(len(words)), np.log1p(len(raw) / n), len(set(words)) / n, runs / max(1, len(words) - 2), len(set(lines)) / max(1, len(lines)), marks, inside, entropy, np.log1p(long), capitals, first, ends, np.log1p(n / max(1, len(lines)))]
     return np.concatenate([np.sqrt(kinds), more]).astype(np.float32)
 
 
-FEATURES = 22
+FEATURES = 23
 
 
 def _features(batches):
@@ -127,8 +133,8 @@ def quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAM
     """doc_id, score for each row of docs (doc_id, text); train picks the rows of labels (doc_id, quality) to learn from."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = store(map_rows(docs.select("doc_id", "text"), _features, f"doc_id {id_type}, x array<float>"))
-    known = labels.where("doc_id IS NOT NULL")
-    good = known.where(train).where("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q >= 0.5").select("doc_id")
+    known = labels.where("doc_id IS NOT NULL").where(train)
+    good = known.where("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q >= 0.5").select("doc_id")
     positive, unlabelled = store(rows.join(good, "doc_id", "left_semi")), store(rows.join(known.select("doc_id").distinct(), "doc_id", "left_anti"))
     p, u = _collect(positive, sample), _collect(unlabelled, sample)
     if not len(p) or not len(u):
