@@ -106,6 +106,12 @@ class Tokenizer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # what word() and chunk() are written for; any other file would give wrong ids without a word
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = [{k: v for k, v in p.items() if k != "pattern"} for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        wanted = [{"type": "Split", "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        if steps != ["NFC", "Replace", "Lowercase"] or parts != wanted or spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != END or spec["model"].get("byte_fallback"):
+            raise ValueError(f"{path}: a vocabulary with another normaliser, splitter or model than word-level BPE with word ends")
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = self.vocab | self.special

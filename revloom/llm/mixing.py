@@ -65,13 +65,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = TIME
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = TIMES, seed: str = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that share a doc_id share its first count."""
+    """docs with each row as often as the mix takes it; rows that share a doc_id share its first count.
+
+    A null text has size 0 and is taken as often as its source asks for any document; a null id is an id. No rows give none.
+    """
     copies = mixed(docs, weights, times, seed).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    name = "copies__"
-    while name in docs.columns:
-        name += "_"
-    joined = docs.join(copies.withColumnsRenamed({"doc_id": "id__", "copies": name}), F.col("doc_id").eqNullSafe(F.col("id__")))
-    return joined.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name).cast("int")))).select(*docs.columns)
+    key, name = "id__", "copies__"
+    while {key, name} & {c.lower() for c in docs.columns}:
+        key, name = key + "_", name + "_"
+    joined = docs.join(copies.withColumnsRenamed({"doc_id": key, "copies": name}), F.col("doc_id").eqNullSafe(F.col(key)))
+    return joined.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
