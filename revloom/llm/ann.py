@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from revloom.llm.common import map_rows, store
 
-SAMPLE, CENTRES, ETA, RERANK, ROWS, QUERIES, TOP = 8192, 16, 2.6, 160, 8192, 512, 5
+SAMPLE, CENTRES, ETA, RERANK, ROWS, QUERIES, TOP = 8192, 16, 2.6, 160, 8192, 4096, 5
 SLACK = 1e-4  # for rounding: scores are sums in single precision
 
 
