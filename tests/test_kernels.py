@@ -49,3 +49,46 @@ def test_order_keys():
         keys.insert(i, ordering.between(keys[i - 1] if i else None, keys[i] if i < len(keys) else None))
     assert keys == sorted(set(keys))
     assert ordering.heal([("x", "a1"), ("y", "a1")]).keys() == {"y"}
+
+
+def test_fields_against_a_plain_table():
+    """The tree against a list of rows that is searched whole for every op."""
+    rng = random.Random(6)
+    for _ in range(200):
+        ops = []
+        for t in range(rng.randrange(1, 40)):
+            path = "/" + "/".join(rng.choice("ab") for _ in range(rng.randrange(1, 4)))
+            kind = rng.choice(["replace", "replace", "remove", "@inc", "@max"])
+            ops.append({"op": kind, "path": path, "ts": rng.randrange(20)} | ({} if kind == "remove" else {"value": rng.choice([1, 2, {}]) if kind == "replace" else rng.randrange(9)}))
+        ops = [o for o in ops if not (o["op"][0] == "@" and any(p["path"] == o["path"] and p.get("value") == {} for p in ops))]
+        rows = {}
+        for op in ops:
+            over = [p for p in rows if op["path"].startswith(p + "/")]
+            if any(rows[p]["op"] != "remove" and not isinstance(rows[p]["value"], dict) for p in over):
+                continue
+            rows = {p: r for p, r in rows.items() if p not in over or r["op"] != "remove"}
+            won = fields.resolve(rows[op["path"]], op) if op["path"] in rows else op
+            if won is not None:
+                rows = {p: r for p, r in rows.items() if not p.startswith(op["path"] + "/")} | {op["path"]: won}
+        assert fields.commit_all(ops) == rows
+
+
+def test_commits_of_fields():
+    d = fields.Document()
+    assert d.commit({"id": 1, "ops": [{"op": "replace", "path": "/a", "value": 5, "ts": 10}, {"op": "@inc", "path": "/n", "value": 2}], "created_at": 10, "base_rev": 0}, 100) and d.rev == 1
+    assert [r["value"] for r in d.commit({"id": 1, "ops": [{"op": "@inc", "path": "/n", "value": 2}], "base_rev": 1}, 100)] == [2] and d.rev == 1
+    told = d.commit({"id": 2, "ops": [{"op": "replace", "path": "/a", "value": 6, "ts": 3}], "base_rev": 1}, 100)
+    assert [(r["path"], r["value"], r["rev"]) for r in told] == [("/a", 5, 1)] and d.rev == 1
+    assert [(r["path"], r["ts"]) for r in d.commit({"id": 3, "ops": [{"op": "replace", "path": "/b", "value": 1, "ts": 900}], "base_rev": 1}, 200)] == [("/b", 200)] and d.rev == 2
+    assert [r["path"] for r in d.commit({"id": 4, "ops": [{"op": "replace", "path": "/a/x", "value": 1, "ts": 300}], "base_rev": 2}, 300)] == ["/a"] and d.rev == 2
+
+
+def test_pending_texts_and_lists():
+    text = lambda at, s: [*([{"retain": at}] if at else []), {"insert": s}]
+    p = fields.flat_pending({"t": {"op": "#", "val": text(0, "ab"), "ts": 1}}, {"t": {"op": "#", "val": text(2, "c"), "ts": 2}})
+    assert p["t"]["op"] == "#" and p["t"]["val"] == [{"insert": "abc"}]
+    p = fields.flat_pending({"t": {"op": "=", "val": [{"insert": "x\n"}], "ts": 1}}, {"t": {"op": "#", "val": text(1, "y"), "ts": 2}})
+    assert p["t"]["op"] == "=" and delta.plain(p["t"]["val"]) == "xy\n"
+    assert fields.flat_pending({"n": {"op": "=", "val": 3, "ts": 1}}, {"n": {"op": "^", "val": 2, "ts": 2}})["n"]["val"] == 3
+    stored = {"a": [1, {"b": 2}], "o": {"k": 1}}
+    assert fields.flat_state(stored | {"a.1.b": 5, "o.j": 2, "s": 1, "s.x": 2}) == {"a": [1, {"b": 5}], "o": {"k": 1, "j": 2}, "s": {"x": 2}} and stored == {"a": [1, {"b": 2}], "o": {"k": 1}}
