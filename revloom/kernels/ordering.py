@@ -14,8 +14,12 @@ def _whole(key: str) -> str:
     return key[:n]
 
 
-def _check(key: str) -> None:
-    if key == SMALLEST or key[len(_whole(key)) :].endswith("0"):
+LARGEST = "z" + DIGITS[-1] * 26
+
+
+def _check(key: str, bound: str) -> None:
+    """Nothing comes after the largest whole key or before the smallest, and no fraction ends in zero."""
+    if key == bound or key[len(_whole(key)) :].endswith("0"):
         raise ValueError(f"not an order key: {key}")
 
 
@@ -79,9 +83,9 @@ def between(a: str | None, b: str | None) -> str:
     if not a and not b:
         return ZERO
     if a:
-        _check(a)
+        _check(a, LARGEST)
     if b:
-        _check(b)
+        _check(b, SMALLEST)
     if not a:
         whole = _whole(b)
         if whole == SMALLEST:

@@ -1,4 +1,4 @@
-"""Patches of path-addressed ops on JSON documents: apply, invert and compose.
+"""Lists of path-addressed ops on JSON documents: apply, invert and compose.
 
 A patch is a list of dicts with op, path and, by op, from and value. States are never changed in place.
 """
@@ -132,7 +132,7 @@ def _parent(root: list, path: str, make: str | None):
 
 
 def _index(node: list, key: str, most: int) -> int:
-    at = len(node) if key == "-" else int(key) if _INDEX.match(key) else -1
+    at = len(node) if key == "-" else int(key or 0) if not key or key.isascii() and key.isdigit() else -1
     if not 0 <= at <= most:
         raise PatchError(f"no array index {key}")
     return at
@@ -225,7 +225,10 @@ def invert(state, ops: list[dict]) -> list[dict]:
     for op in ops:
         kind, path = op["op"], op["path"]
         old, parent = get(state, path), get(state, path.rpartition("/")[0])
-        after = apply(state, [op], strict=True)
+        try:
+            after = apply(state, [op], strict=True)
+        except PatchError:  # it does nothing, so nothing is to undo
+            continue
         if kind == "@txt" and old is not MISSING:
             base = delta.ops_of(old) or [{"insert": "\n"}]
             out.append([{"op": "@txt", "path": path, "value": delta.invert(delta.ops_of(op["value"]), base)}])

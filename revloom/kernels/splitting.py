@@ -76,7 +76,7 @@ def op_pieces(op: dict, most: int) -> tuple[list[dict], str | None]:
         taken: list[tuple[str, list[dict]]] = []
         value = _stubs(op["value"], op["path"], taken)
         if not taken:
-            return [op], "value-no-text" if isinstance(op["value"], (dict, list)) else "value-not-object"
+            return [op], "value-no-text" if isinstance(op["value"], dict) else "value-not-object"
         out = [op | {"value": value}]
         for path, ops in taken:
             out += [{"op": "@txt", "path": path, "value": v} for v in text_pieces(_fill(ops), max(1, most - patch.size({"op": "@txt", "path": path, "value": []})))]

@@ -94,13 +94,13 @@ add(
       FROM (SELECT doc_id, path, arg_max(value, row(ts, seq)) AS value FROM oplog WHERE op = 'replace' AND seq <= 30 GROUP BY doc_id, path) s
       FULL OUTER JOIN (SELECT doc_id, path, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM oplog WHERE seq > 30 GROUP BY doc_id, path) l USING (doc_id, path)""",
 )
-add("lww_compaction_due", "SELECT doc_id, count(*) AS rows_kept, count(*) >= 60 AS due FROM oplog GROUP BY doc_id")
+add("lww_compaction_due", "SELECT doc_id, count(*) AS rows_kept, count(*) >= 200 AS due FROM oplog GROUP BY doc_id")
 
 # --- reading and writing the log (A1 to A14, F10 to F16, F20) ------------------------------------
 add("scan_changes", "SELECT doc_id, rev, id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS r FROM changelog WHERE rev > 5 AND rev < 40) x WHERE r <= 10")
 add("scan_changes_reverse", "SELECT doc_id, rev, id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rev DESC) AS r FROM changelog WHERE batch_id <> 'b7') x WHERE r <= 3")
 add("scan_changes_bytes", """SELECT doc_id, rev, used FROM (SELECT doc_id, rev, row_number() OVER w AS r, sum({LEN}(ops)) OVER w AS used FROM changelog WINDOW w AS (PARTITION BY doc_id ORDER BY rev ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x WHERE used <= 400 OR r = 1""")
-add("append_violations", "SELECT doc_id, id, count(*) AS n FROM changelog GROUP BY doc_id, id HAVING count(*) > 1")
+add("append_violations", "SELECT doc_id, id, count(*) AS n FROM resent GROUP BY doc_id, id HAVING count(*) > 1", "SELECT doc_id, id, 2 AS n FROM changelog WHERE id % 9 = 0")
 add("current_rev", "SELECT doc_id, coalesce(max(rev), 0) AS rev FROM changelog GROUP BY doc_id")
 add("ops_since_rev", "SELECT doc_id, path, op, value, seq AS rev FROM oplog WHERE seq > 40")
 add("ops_by_paths", "SELECT doc_id, path, op, value, seq AS rev FROM oplog WHERE path IN ('/f1', '/f3')")
@@ -113,11 +113,15 @@ add("live_documents", "SELECT t.doc_id, t.tip FROM tips t LEFT ANTI JOIN (SELECT
 add("seen_change_ids", "SELECT c.doc_id, c.id FROM changelog c LEFT SEMI JOIN (SELECT doc_id, id FROM changelog WHERE created_at + 2592000000 > 1706400000000 AND rev % 2 = 0) s ON c.doc_id = s.doc_id AND c.id = s.id", "SELECT doc_id, id FROM changelog WHERE created_at + 2592000000 > 1706400000000 AND rev % 2 = 0")
 add("offloaded_values", "SELECT doc_id, rev, CASE WHEN {LEN}(ops) > 40 THEN concat('ref:', CAST(id AS STRING)) ELSE ops END AS stored FROM changelog")
 add("upload_owner", "SELECT doc_id, min(rev) AS first_rev, max(CASE WHEN rev = 1 THEN batch_id END) AS batch_id FROM changelog GROUP BY doc_id")
-add("dedup_batch", """SELECT doc_id, id, rev FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, path, k ORDER BY rev) AS r FROM changelog WHERE rev > 10) x WHERE r = 1""")
+# what of a batch is new: of each id the first that was sent, unless it is committed already
+add("dedup_batch", "SELECT doc_id, id, rev FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY rev, copy) AS r FROM resent) x LEFT ANTI JOIN (SELECT doc_id AS d, id AS i FROM changelog WHERE rev <= 10) known ON d = doc_id AND i = id WHERE r = 1",
+    "SELECT DISTINCT doc_id, id, rev FROM resent x WHERE NOT EXISTS (SELECT 1 FROM changelog c WHERE c.doc_id = x.doc_id AND c.id = x.id AND c.rev <= 10)")
 add("own_echoes", "SELECT c.doc_id, c.rev, c.id FROM changelog c JOIN changelog f ON f.doc_id = c.doc_id AND f.rev = 1 WHERE c.client_id = f.client_id AND c.rev > 1 AND (c.batch_id = f.batch_id OR c.id = f.id)")
 add("catch_up", "SELECT doc_id, rev, id, kind FROM (SELECT doc_id, rev, id, 'foreign' AS kind FROM concurrent WHERE rev > sent_base + 2 AND client_id <> 'c0' UNION ALL SELECT doc_id, rev, id, 'echo' AS kind FROM concurrent WHERE client_id = 'c0' AND rev % 3 = 0) x")
-add("frame_prefix", """SELECT doc_id, rev FROM (SELECT doc_id, rev, max(CASE WHEN floor(sent_base / 10) <> floor(first / 10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rev ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken
-      FROM (SELECT *, first_value(sent_base) OVER (PARTITION BY doc_id ORDER BY rev) AS first FROM concurrent) x) y WHERE broken = 0""")
+# the leading changes that were made on one base
+add("frame_prefix", """SELECT doc_id, rev FROM (SELECT doc_id, rev, max(CASE WHEN sent_base <> first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rev ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken
+      FROM (SELECT *, first_value(sent_base) OVER (PARTITION BY doc_id ORDER BY rev) AS first FROM concurrent) x) y WHERE broken = 0""",
+    """SELECT c.doc_id, c.rev FROM concurrent c JOIN concurrent f ON f.doc_id = c.doc_id AND f.rev = 1 WHERE NOT EXISTS (SELECT 1 FROM concurrent o WHERE o.doc_id = c.doc_id AND o.rev <= c.rev AND o.sent_base <> f.sent_base)""")
 add("contiguity_gaps", """SELECT doc_id, rev, prev FROM (SELECT doc_id, rev, lag(rev) OVER (PARTITION BY doc_id ORDER BY rev) AS prev FROM changelog WHERE id % 11 <> 0) x WHERE rev <> coalesce(prev, 0) + 1""")
 add("committed_and_pending", "SELECT doc_id, rev, id, pending FROM (SELECT doc_id, rev, id, FALSE AS pending FROM changelog WHERE rev <= 40 UNION ALL SELECT doc_id, rev, id, TRUE AS pending FROM changelog WHERE rev > 40) x WHERE rev > 35")
 
@@ -130,11 +134,22 @@ add("change_bytes", "SELECT doc_id, sum({LEN}(ops)) AS bytes, max({LEN}(ops)) AS
 add("ancestors", "SELECT DISTINCT c.doc_id, c.path, p.path AS parent FROM treelog c JOIN treelog p ON c.doc_id = p.doc_id AND c.path > concat(p.path, '/') AND c.path < concat(p.path, '0')", "SELECT DISTINCT c.doc_id, c.path, p.path AS parent FROM treelog c JOIN treelog p ON c.doc_id = p.doc_id AND starts_with(c.path, p.path || '/')")
 
 # --- inverse, composition (C2, C3, flat) -----------------------------------------------------------
+# removing what isn't there does nothing, and nothing undoes it
 add("invert_flat", """SELECT doc_id, seq, path, CASE WHEN prev IS NULL OR prev_op = 'remove' THEN 'remove' WHEN op = 'remove' THEN 'add' ELSE 'replace' END AS op, CASE WHEN prev_op <> 'remove' THEN prev END AS value
-      FROM (SELECT *, lag(value) OVER w AS prev, lag(op) OVER w AS prev_op FROM setlog WINDOW w AS (PARTITION BY doc_id, path ORDER BY seq)) x""")
-add("compose_runs", """SELECT doc_id, path, op, min(seq) AS first_seq, CASE op WHEN '@inc' THEN sum(value) WHEN '@max' THEN max(value) WHEN '@min' THEN min(value) END AS value FROM (
+      FROM (SELECT *, lag(value) OVER w AS prev, lag(op) OVER w AS prev_op FROM setlog WINDOW w AS (PARTITION BY doc_id, path ORDER BY seq)) x WHERE NOT (op = 'remove' AND coalesce(prev_op, 'remove') = 'remove')""",
+    """SELECT s.doc_id, s.seq, s.path, CASE WHEN p.seq IS NULL OR p.op = 'remove' THEN 'remove' WHEN s.op = 'remove' THEN 'add' ELSE 'replace' END AS op, CASE WHEN p.op = 'replace' THEN p.value END AS value
+      FROM setlog s LEFT JOIN setlog p ON p.doc_id = s.doc_id AND p.path = s.path AND p.seq = (SELECT max(q.seq) FROM setlog q WHERE q.doc_id = s.doc_id AND q.path = s.path AND q.seq < s.seq)
+      WHERE s.op = 'replace' OR p.op = 'replace'""")
+# a run ends where its field's op changes, and everywhere where the document has an op that doesn't compose
+add("compose_runs", """SELECT doc_id, path, op, min(seq) AS first_seq, CASE op WHEN '@inc' THEN sum(value) WHEN '@max' THEN max(value) WHEN '@min' THEN min(value) ELSE max_by(value, seq) END AS value FROM (
         SELECT *, sum(CASE WHEN prev = op THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-        FROM (SELECT *, lag(op) OVER (PARTITION BY doc_id, path ORDER BY seq) AS prev FROM oplog) x) y WHERE substr(op, 1, 1) = '@' GROUP BY doc_id, path, op, run""")
+        FROM (SELECT *, lag(op) OVER (PARTITION BY doc_id, path, ended ORDER BY seq) AS prev
+          FROM (SELECT *, sum(CASE WHEN op = 'remove' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended FROM oplog) e WHERE op <> 'remove') x) y GROUP BY doc_id, path, op, run""",
+    """SELECT f.doc_id, f.path, f.op, f.seq AS first_seq, CASE f.op WHEN '@inc' THEN sum(m.value) WHEN '@max' THEN max(m.value) WHEN '@min' THEN min(m.value) ELSE arg_max(m.value, m.seq) END AS value
+      FROM (SELECT a.*, (SELECT min(z.seq) FROM oplog z WHERE z.doc_id = a.doc_id AND z.seq > a.seq AND (z.op = 'remove' OR z.path = a.path AND z.op <> a.op)) AS upto FROM oplog a
+        LEFT JOIN oplog b ON b.doc_id = a.doc_id AND b.path = a.path AND b.seq = (SELECT max(q.seq) FROM oplog q WHERE q.doc_id = a.doc_id AND q.path = a.path AND q.seq < a.seq)
+        WHERE a.op <> 'remove' AND (b.seq IS NULL OR b.op <> a.op OR EXISTS (SELECT 1 FROM oplog r WHERE r.doc_id = a.doc_id AND r.op = 'remove' AND r.seq > b.seq AND r.seq < a.seq))) f
+      JOIN oplog m ON m.doc_id = f.doc_id AND m.path = f.path AND m.seq >= f.seq AND (f.upto IS NULL OR m.seq < f.upto) GROUP BY f.doc_id, f.path, f.op, f.seq""")
 
 # --- versions and as-of reads (G) ---------------------------------------------------------------
 add("sessions_versions", "SELECT doc_id, version, start_rev, end_rev, started_at, ended_at, lag(version) OVER (PARTITION BY doc_id ORDER BY version) AS parent FROM versions")
@@ -143,21 +158,15 @@ add("count_trigger", "SELECT doc_id, rev, floor((rev - 1) / 25) < floor(rev / 25
 add("catch_up_steps", "SELECT doc_id, s AS start_rev, least(s + 9, tip) AS end_rev FROM (SELECT doc_id, tip, explode(sequence(1L, tip, 10L)) AS s FROM tips) x", "SELECT doc_id, s AS start_rev, least(s + 9, tip) AS end_rev FROM (SELECT doc_id, tip, unnest(generate_series(1, tip, 10)) AS s FROM tips) x")
 add(
     "latest_main_version",
-    """SELECT doc_id, rev, last_value(CASE WHEN kind = 0 THEN version END, true) OVER (PARTITION BY doc_id ORDER BY rev, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS version, kind
-      FROM (SELECT doc_id, end_rev AS rev, version, 0 AS kind FROM versions WHERE origin = 'main' UNION ALL SELECT doc_id, rev, NULL, 1 FROM changelog WHERE rev % 10 = 0) x""",
-    """SELECT doc_id, rev, version, 0 AS kind FROM (SELECT doc_id, end_rev AS rev, version FROM versions WHERE origin = 'main') a UNION ALL
-      SELECT c.doc_id, c.rev, max(v.version), 1 FROM changelog c LEFT JOIN versions v ON v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= c.rev WHERE c.rev % 10 = 0 GROUP BY c.doc_id, c.rev""",
-)
-# as of every revision; latest_main_version stays as the form that asks for every tenth
-add(
-    "latest_main_version_whole",
     """SELECT doc_id, rev, last_value(CASE WHEN kind = 0 THEN version END, true) OVER (PARTITION BY doc_id ORDER BY rev, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS version, kind
       FROM (SELECT doc_id, end_rev AS rev, version, 0 AS kind FROM versions WHERE origin = 'main' UNION ALL SELECT doc_id, rev, NULL, 1 FROM changelog) x""",
     """SELECT doc_id, rev, version, 0 AS kind FROM (SELECT doc_id, end_rev AS rev, version FROM versions WHERE origin = 'main') a UNION ALL
       SELECT c.doc_id, c.rev, max(v.version), 1 FROM changelog c LEFT JOIN versions v ON v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= c.rev GROUP BY c.doc_id, c.rev""",
 )
 add("state_at_rev", """SELECT doc_id, path, w.k AS value FROM (SELECT doc_id, path, max_by(struct(k), rev) AS w FROM changelog WHERE rev <= 25 GROUP BY doc_id, path) x""", """SELECT doc_id, path, arg_max(k, rev) AS value FROM changelog WHERE rev <= 25 GROUP BY doc_id, path""")
-add("tail_after_version", "SELECT c.doc_id, c.rev, v.end_rev AS version_rev FROM changelog c JOIN (SELECT doc_id, max(end_rev) AS end_rev FROM versions WHERE origin = 'main' AND end_rev <= 30 GROUP BY doc_id) v ON c.doc_id = v.doc_id WHERE c.rev > v.end_rev AND c.rev <= 30")
+# what is to be replayed on the last main version by revision 30, from the start where there is none
+add("tail_after_version", "SELECT c.doc_id, c.rev, coalesce(v.end_rev, 0) AS version_rev FROM changelog c LEFT JOIN (SELECT doc_id, max(end_rev) AS end_rev FROM versions WHERE origin = 'main' AND end_rev <= 30 GROUP BY doc_id) v ON c.doc_id = v.doc_id WHERE c.rev > coalesce(v.end_rev, 0) AND c.rev <= 30",
+    "SELECT c.doc_id, c.rev, coalesce((SELECT max(v.end_rev) FROM versions v WHERE v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= 30), 0) AS version_rev FROM changelog c WHERE c.rev <= 30 AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= 30 AND v.end_rev >= c.rev)")
 add("version_parents", """t AS (SELECT doc_id, version, CASE WHEN version > 1 THEN version - 1 END AS parent, origin FROM versions),
   hop1 AS (SELECT a.doc_id, a.version, b.version AS base, b.origin, b.parent FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.version = a.parent),
   hop2 AS (SELECT h.doc_id, h.version, b.version AS base, b.origin FROM hop1 h JOIN t b ON b.doc_id = h.doc_id AND b.version = h.parent WHERE h.origin <> 'main')
@@ -203,15 +212,15 @@ add("layered_read", """SELECT doc_id, path, value FROM (SELECT *, row_number() O
         SELECT doc_id, path, value, seq, CASE WHEN seq <= 20 THEN 0 WHEN seq <= 35 THEN 1 WHEN seq <= 45 THEN 2 ELSE 3 END AS layer FROM oplog WHERE op = 'replace') x) y WHERE r = 1""")
 add("pure_echo", "SELECT doc_id, count(CASE WHEN known IS NULL THEN 1 END) = 0 AS echo FROM (SELECT a.doc_id, b.id AS known FROM oplog a LEFT JOIN (SELECT doc_id, path, value, min(id) AS id FROM oplog WHERE seq <= 40 GROUP BY doc_id, path, value) b ON a.doc_id = b.doc_id AND a.path = b.path AND a.value = b.value WHERE a.seq BETWEEN 10 AND 42) x GROUP BY doc_id")
 add("withheld_rows", "SELECT p.doc_id, p.rev FROM changelog p LEFT ANTI JOIN (SELECT doc_id, id FROM changelog WHERE id % 13 <> 0) s ON p.doc_id = s.doc_id AND p.id = s.id WHERE p.rev <= 30", "SELECT doc_id, rev FROM changelog WHERE id % 13 = 0 AND rev <= 30")
-add("gap_report", "SELECT doc_id, count(*) AS gaps FROM (SELECT doc_id, rev, sent_base, max(rev) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cursor_rev FROM concurrent) x WHERE sent_base > coalesce(cursor_rev, 0) GROUP BY doc_id")
+add("gap_report", "SELECT doc_id, count(*) AS gaps FROM (SELECT doc_id, rev, lag(rev, 1, 0) OVER (PARTITION BY doc_id ORDER BY rev) AS cursor_rev FROM received) x WHERE rev > cursor_rev + 1 GROUP BY doc_id",
+    "SELECT doc_id, count(*) AS gaps FROM received r WHERE r.rev > 1 AND NOT EXISTS (SELECT 1 FROM received p WHERE p.doc_id = r.doc_id AND p.rev = r.rev - 1) GROUP BY doc_id")
 add("pending_prefix", "SELECT doc_id, path, seq FROM treelog WHERE path = '/s1' OR (path > '/s1/' AND path < '/s10')")
 
 # --- delivery (M) ----------------------------------------------------------------------------------
 _SUBS = "(SELECT DISTINCT client_id, doc_id FROM changelog WHERE rev <= 5)"
 add("broadcast", f"SELECT s.client_id, c.doc_id, c.rev FROM changelog c JOIN {_SUBS} s ON c.doc_id = s.doc_id WHERE s.client_id <> c.client_id AND c.rev > 5")
-add("client_event_log", f"SELECT s.client_id, c.doc_id, c.rev, row_number() OVER (PARTITION BY s.client_id ORDER BY c.created_at, c.id) AS event_no FROM changelog c JOIN {_SUBS} s ON c.doc_id = s.doc_id WHERE s.client_id <> c.client_id AND c.rev > 60")
-# numbers every event that broadcast sends; client_event_log stays as the form over the revisions after 60
-add("client_event_log_whole", f"SELECT s.client_id, c.doc_id, c.rev, row_number() OVER (PARTITION BY s.client_id ORDER BY c.created_at, c.id) AS event_no FROM changelog c JOIN {_SUBS} s ON c.doc_id = s.doc_id WHERE s.client_id <> c.client_id AND c.rev > 5")
+# numbers every event that broadcast sends
+add("client_event_log", f"SELECT s.client_id, c.doc_id, c.rev, row_number() OVER (PARTITION BY s.client_id ORDER BY c.created_at, c.id) AS event_no FROM changelog c JOIN {_SUBS} s ON c.doc_id = s.doc_id WHERE s.client_id <> c.client_id AND c.rev > 5")
 add("cursor_replay", """SELECT client_id, asked, CASE WHEN asked IS NULL OR asked >= next_no THEN 'resync' ELSE 'replay' END AS status FROM (
         SELECT client_id, CASE client_id WHEN 'c0' THEN 10 WHEN 'c1' THEN 1000000000 END AS asked, count(*) + 1 AS next_no FROM changelog GROUP BY client_id) x""")
 add("retention_trim", "SELECT client_id, count(*) AS kept FROM changelog WHERE created_at >= 1705500000000 GROUP BY client_id")

@@ -198,15 +198,6 @@ _per_group(
 )
 _per_group(
     "ot_eject",
-    "SELECT *, rev AS seq FROM concurrent WHERE rev <= 10",
-    ["doc_id"],
-    "doc_id long, id long, rev long",
-    lambda key, pdf: [(key[0], q["id"], q["rev"]) for q in transform.eject({}, _changes(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
-    "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS rev FROM concurrent WHERE rev <= 10 AND rev <> (SELECT least(3, t.tip) FROM tips t WHERE t.doc_id = concurrent.doc_id)",
-)
-# over the whole queue; ot_eject stays as the form over its first ten
-_per_group(
-    "ot_eject_whole",
     _BY_DOC,
     ["doc_id"],
     "doc_id long, id long, rev long",
@@ -216,7 +207,7 @@ _per_group(
 
 
 def _frame(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-    """A branch's foreign patches advanced through its own queue, which is then discarded (H12)."""
+    """A branch's foreign op lists advanced through its own queue, which is then discarded (H12)."""
     rows = _changes(pdf)
     _, ahead = transform.behind([c for c in rows if c["id"] % 2], [c for c in rows if not c["id"] % 2])
     return [(key[0], len(ahead), sum(map(len, ahead)))]

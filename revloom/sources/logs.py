@@ -27,6 +27,8 @@ LOGS = {
         concat('b', CAST(event_id % 50 AS STRING)) AS batch_id, k, concat('/f', CAST(k % 8 AS STRING)) AS path,
         concat('[{"op":"replace","path":"/f', CAST(k % 8 AS STRING), '","value":', CAST(k AS STRING), '}]') AS ops FROM log0""",
     "concurrent": "SELECT *, greatest(0, rev - 1 - (id % 4)) AS sent_base FROM changelog",
+    "resent": "SELECT *, 1 AS copy FROM changelog UNION ALL SELECT *, 2 AS copy FROM changelog WHERE id % 9 = 0",
+    "received": "SELECT * FROM changelog WHERE id % 13 <> 0",
     "sessions": """SELECT *, sum(CASE WHEN prev IS NULL OR created_at - prev > 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rev ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
         FROM (SELECT *, lag(created_at) OVER (PARTITION BY doc_id ORDER BY rev) AS prev FROM changelog) x""",
     "versions": """SELECT doc_id, session AS version, min(rev) AS start_rev, max(rev) AS end_rev, min(created_at) AS started_at, max(created_at) AS ended_at,

@@ -5,7 +5,7 @@ from revloom.plans import registry
 from revloom.sources.logs import with_logs
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject", "lz_round_trip", "text_log"]
+SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject", "lz_round_trip", "text_log", "invert_flat", "frame_prefix", "dedup_batch", "tail_after_version", "append_violations", "gap_report", "client_event_log"]
 
 
 def rows(frame):
@@ -52,16 +52,12 @@ def test_whole_logs(spark):
     # a queued write of the same field is later, so the foreign one is lost
     kept = {d: sum(r["id"] % 2 == 1 and r["path"] not in {q["path"] for q in log if q["id"] % 2 == 0} for r in log) for d, log in logs.items()}
     assert got("frame_advance", "doc_id", "programs", "n_ops") == sorted((d, n, n) for d, n in kept.items())
-    assert got("ot_eject_whole", "doc_id", "rev", "id") == sorted((d, n, i) for d, log in logs.items() for n, i in enumerate([r["id"] for r in log if r["rev"] != 3], 1))
+    assert got("ot_eject", "doc_id", "rev", "id") == sorted((d, n, i) for d, log in logs.items() for n, i in enumerate([r["id"] for r in log if r["rev"] != 3], 1))
     as_of = sorted((d, r["rev"], max([v for e, v in versions.get(d, []) if e <= r["rev"]], default=0)) for d, log in logs.items() for r in log)
-    assert [(d, r, v) for d, r, v, kind in sorted((d, r, v or 0, k) for d, r, v, k in ((x.doc_id, x.rev, x.version, x.kind) for x in registry.QUERIES["latest_main_version_whole"](spark, FOLDER).collect())) if kind == 1] == as_of
+    assert [(d, r, v) for d, r, v, kind in sorted((d, r, v or 0, k) for d, r, v, k in ((x.doc_id, x.rev, x.version, x.kind) for x in registry.QUERIES["latest_main_version"](spark, FOLDER).collect())) if kind == 1] == as_of
     sent = {}
     for d, log in logs.items():
         for client in {r["client_id"] for r in log if r["rev"] <= 5}:
             sent.setdefault(client, []).extend((r["created_at"], r["id"], d, r["rev"]) for r in log if r["client_id"] != client and r["rev"] > 5)
-    assert got("client_event_log_whole", "client_id", "event_no", "doc_id", "rev") == sorted((c, n, d, r) for c, rows in sent.items() for n, (_, _, d, r) in enumerate(sorted(rows), 1))
+    assert got("client_event_log", "client_id", "event_no", "doc_id", "rev") == sorted((c, n, d, r) for c, rows in sent.items() for n, (_, _, d, r) in enumerate(sorted(rows), 1))
 
-
-@pytest.mark.parametrize("name", ["ot_eject_whole", "latest_main_version_whole", "client_event_log_whole"])
-def test_whole_logs_same_as_oracle(spark, name):
-    test_same_as_oracle(spark, name)
