@@ -83,16 +83,29 @@ add(
         WHERE s.doc_id = t.doc_id AND (t.path = s.path OR startswith(t.path, concat(s.path, '/')))) OR t.seq > 60""",
     """SELECT DISTINCT t.doc_id, t.path, t.seq FROM treelog t LEFT JOIN treelog s ON s.doc_id = t.doc_id AND s.seq <= 2 AND (t.path = s.path OR starts_with(t.path, s.path || '/')) WHERE s.doc_id IS NOT NULL OR t.seq > 60""",
 )
+# what the server sent, with local ops on top: deltas act on its values, other local ops win, untouched ones are kept
 add(
     "lww_server_local_merge",
-    """SELECT doc_id, path, CASE WHEN l.op IS NULL THEN s.value WHEN s.value IS NULL THEN l.value WHEN l.op = '@inc' THEN s.value + l.value
-        WHEN l.op = '@max' THEN greatest(s.value, l.value) WHEN l.op = '@min' THEN least(s.value, l.value) WHEN l.op = 'remove' THEN NULL ELSE l.value END AS value, s.value IS NOT NULL AS on_server
-      FROM (SELECT doc_id, path, max_by(value, struct(ts, seq)) AS value FROM oplog WHERE op = 'replace' AND seq <= 30 GROUP BY doc_id, path) s
-      FULL OUTER JOIN (SELECT doc_id, path, max_by(op, seq) AS op, max_by(value, seq) AS value FROM oplog WHERE seq > 30 GROUP BY doc_id, path) l USING (doc_id, path)""",
-    """SELECT doc_id, path, CASE WHEN l.op IS NULL THEN s.value WHEN s.value IS NULL THEN l.value WHEN l.op = '@inc' THEN s.value + l.value
-        WHEN l.op = '@max' THEN greatest(s.value, l.value) WHEN l.op = '@min' THEN least(s.value, l.value) WHEN l.op = 'remove' THEN NULL ELSE l.value END AS value, s.value IS NOT NULL AS on_server
-      FROM (SELECT doc_id, path, arg_max(value, row(ts, seq)) AS value FROM oplog WHERE op = 'replace' AND seq <= 30 GROUP BY doc_id, path) s
-      FULL OUTER JOIN (SELECT doc_id, path, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM oplog WHERE seq > 30 GROUP BY doc_id, path) l USING (doc_id, path)""",
+    """SELECT doc_id, path, CASE WHEN l.w.op IS NULL THEN s.w.op WHEN s.w.op IS NULL OR substr(l.w.op, 1, 1) <> '@' THEN l.w.op ELSE 'replace' END AS op,
+        CASE WHEN l.w.op IS NULL THEN IF(s.w.op = 'remove', NULL, s.w.value) WHEN l.w.op = 'remove' THEN NULL WHEN s.w.op IS NULL OR s.w.op = 'remove' OR l.w.op = 'replace' THEN l.w.value
+          WHEN l.w.op = '@inc' THEN s.w.value + l.w.value WHEN l.w.op = '@max' THEN greatest(s.w.value, l.w.value) ELSE least(s.w.value, l.w.value) END AS value
+      FROM (SELECT doc_id, path, max_by(struct(op, value), struct(ts, seq)) AS w FROM setlog WHERE seq <= 30 GROUP BY doc_id, path) s
+      FULL OUTER JOIN (SELECT doc_id, path, max_by(struct(op, value), seq) AS w FROM oplog WHERE seq > 30 GROUP BY doc_id, path) l USING (doc_id, path)""",
+    """l AS (SELECT * FROM oplog o WHERE seq > 30 AND NOT EXISTS (SELECT 1 FROM oplog p WHERE p.doc_id = o.doc_id AND p.path = o.path AND p.seq > o.seq)),
+  s AS (SELECT * FROM setlog o WHERE seq <= 30 AND NOT EXISTS (SELECT 1 FROM setlog p WHERE p.seq <= 30 AND p.doc_id = o.doc_id AND p.path = o.path AND (p.ts > o.ts OR p.ts = o.ts AND p.seq > o.seq)))
+;
+SELECT doc_id, path, op, CASE WHEN op = 'replace' THEN value END AS value FROM s WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = s.doc_id AND l.path = s.path)
+      UNION ALL SELECT doc_id, path, op, CASE WHEN op <> 'remove' THEN value END FROM l WHERE NOT starts_with(op, '@') OR NOT EXISTS (SELECT 1 FROM s WHERE l.doc_id = s.doc_id AND l.path = s.path)
+      UNION ALL SELECT l.doc_id, l.path, 'replace', CASE WHEN s.op = 'remove' THEN l.value WHEN l.op = '@inc' THEN l.value + s.value WHEN l.op = '@max' THEN greatest(l.value, s.value) ELSE least(l.value, s.value) END
+        FROM l JOIN s ON l.doc_id = s.doc_id AND l.path = s.path WHERE starts_with(l.op, '@')""",
+)
+# a server op below a field that a local set or remove holds is dropped
+add(
+    "lww_parent_shield",
+    """SELECT s.doc_id, s.path, s.seq FROM (SELECT *, transform(sequence(2, size(split(path, '/')) - 1), n -> array_join(slice(split(path, '/'), 1, n), '/')) AS above FROM treelog WHERE seq <= 30 AND size(split(path, '/')) > 2
+        UNION ALL SELECT *, CAST(array() AS array<string>) AS above FROM treelog WHERE seq <= 30 AND size(split(path, '/')) <= 2) s
+      WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT doc_id, path FROM treelog WHERE seq > 30) l WHERE l.doc_id = s.doc_id AND array_contains(s.above, l.path))""",
+    "SELECT doc_id, path, seq FROM treelog s WHERE seq <= 30 AND NOT EXISTS (SELECT 1 FROM treelog l WHERE l.doc_id = s.doc_id AND l.seq > 30 AND starts_with(s.path, l.path || '/'))",
 )
 add("lww_compaction_due", "SELECT doc_id, count(*) AS rows_kept, count(*) >= 200 AS due FROM oplog GROUP BY doc_id")
 
@@ -131,7 +144,9 @@ add("pointer_functions", """SELECT doc_id, seq, substring_index(path, '/', -1) A
     """SELECT doc_id, seq, string_split(path, '/')[-1] AS last, substr(path, 1, length(path) - length(string_split(path, '/')[-1])) AS prefix,
         replace(replace(concat('a/', CAST(value AS STRING), '~'), '~', '~0'), '/', '~1') AS escaped, regexp_matches(path, '/(0|[1-9][0-9]*)$') AS numeric_tail FROM treelog""")
 add("change_bytes", "SELECT doc_id, sum({LEN}(ops)) AS bytes, max({LEN}(ops)) AS largest FROM changelog GROUP BY doc_id")
-add("ancestors", "SELECT DISTINCT c.doc_id, c.path, p.path AS parent FROM treelog c JOIN treelog p ON c.doc_id = p.doc_id AND c.path > concat(p.path, '/') AND c.path < concat(p.path, '0')", "SELECT DISTINCT c.doc_id, c.path, p.path AS parent FROM treelog c JOIN treelog p ON c.doc_id = p.doc_id AND starts_with(c.path, p.path || '/')")
+add("ancestors", """SELECT c.doc_id, c.path, c.up AS parent FROM (SELECT doc_id, path, explode(transform(sequence(2, size(split(path, '/')) - 1), n -> array_join(slice(split(path, '/'), 1, n), '/'))) AS up
+        FROM (SELECT DISTINCT doc_id, path FROM treelog WHERE size(split(path, '/')) > 2) p) c LEFT SEMI JOIN (SELECT DISTINCT doc_id AS d, path AS p FROM treelog) q ON c.doc_id = q.d AND c.up = q.p""",
+    "SELECT DISTINCT c.doc_id, c.path, p.path AS parent FROM treelog c JOIN treelog p ON c.doc_id = p.doc_id AND starts_with(c.path, p.path || '/')")
 
 # --- inverse, composition (C2, C3, flat) -----------------------------------------------------------
 # removing what isn't there does nothing, and nothing undoes it
@@ -167,11 +182,9 @@ add("state_at_rev", """SELECT doc_id, path, w.k AS value FROM (SELECT doc_id, pa
 # what is to be replayed on the last main version by revision 30, from the start where there is none
 add("tail_after_version", "SELECT c.doc_id, c.rev, coalesce(v.end_rev, 0) AS version_rev FROM changelog c LEFT JOIN (SELECT doc_id, max(end_rev) AS end_rev FROM versions WHERE origin = 'main' AND end_rev <= 30 GROUP BY doc_id) v ON c.doc_id = v.doc_id WHERE c.rev > coalesce(v.end_rev, 0) AND c.rev <= 30",
     "SELECT c.doc_id, c.rev, coalesce((SELECT max(v.end_rev) FROM versions v WHERE v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= 30), 0) AS version_rev FROM changelog c WHERE c.rev <= 30 AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.doc_id = c.doc_id AND v.origin = 'main' AND v.end_rev <= 30 AND v.end_rev >= c.rev)")
-add("version_parents", """t AS (SELECT doc_id, version, CASE WHEN version > 1 THEN version - 1 END AS parent, origin FROM versions),
-  hop1 AS (SELECT a.doc_id, a.version, b.version AS base, b.origin, b.parent FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.version = a.parent),
-  hop2 AS (SELECT h.doc_id, h.version, b.version AS base, b.origin FROM hop1 h JOIN t b ON b.doc_id = h.doc_id AND b.version = h.parent WHERE h.origin <> 'main')
-;
-SELECT doc_id, version, base FROM hop1 WHERE origin = 'main' UNION ALL SELECT doc_id, version, base FROM hop2 WHERE origin = 'main'""")
+# the nearest main version among the ten before
+add("version_parents", "SELECT doc_id, version, base FROM (SELECT doc_id, version, max(CASE WHEN origin = 'main' THEN version END) OVER (PARTITION BY doc_id ORDER BY version ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM versions) x WHERE base IS NOT NULL",
+    "SELECT a.doc_id, a.version, max(b.version) AS base FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.origin = 'main' AND b.version < a.version AND b.version >= a.version - 10 GROUP BY a.doc_id, a.version")
 add("snapshot_envelope", """SELECT doc_id, concat('{"state":', CAST(max(k) AS STRING), ',"rev":', CAST(max(rev) AS STRING), ',"changes":', CAST(count(*) AS STRING), '}') AS envelope FROM changelog GROUP BY doc_id""")
 add("scrub_prefix", "SELECT doc_id, session, rev FROM (SELECT doc_id, session, rev, row_number() OVER (PARTITION BY doc_id, session ORDER BY rev) AS r FROM sessions) x WHERE r <= 2")
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from revloom.kernels import delta, fields, lz, ordering, patch, splitting, textlog, transform
+from revloom.operators import history
 from revloom.session import prepare
 from revloom.sources.logs import spark_statement, with_logs
 
@@ -50,6 +51,29 @@ _per_group(
 )
 
 
+def _lww_commit(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    """Each op a change of its own, every ninth of them sent twice."""
+    document = fields.Document()
+    for i, op, now in zip(pdf["id"], _ops(pdf), pdf["created_at"]):
+        for _ in range(2 if i % 9 == 0 else 1):
+            document.commit({"id": int(i), "ops": [op], "base_rev": document.rev}, int(now))
+    return [(key[0], r["path"], r["op"], r.get("value"), r["ts"], r["rev"], document.rev) for r in document.table.rows()]
+
+
+_per_group(
+    "lww_commit",
+    "SELECT * FROM setlog",
+    ["doc_id"],
+    "doc_id long, path string, op string, value long, ts long, rev long, tip long",
+    _lww_commit,
+    """a AS (SELECT *, ts >= coalesce(max(ts) OVER (PARTITION BY doc_id, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts) AS won FROM setlog),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rev FROM a WHERE won)
+;
+SELECT doc_id, path, op, CASE WHEN op = 'replace' THEN value END AS value, ts, rev, (SELECT count(*) FROM b t WHERE t.doc_id = b.doc_id) AS tip FROM b
+      WHERE NOT EXISTS (SELECT 1 FROM b l WHERE l.doc_id = b.doc_id AND l.path = b.path AND l.rev > b.rev)""",
+)
+
+
 def _flat(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     state: dict = {}
     for o, p, v in zip(pdf["op"], pdf["path"], pdf["value"]):
@@ -285,3 +309,21 @@ def _guard(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
 
 
 _per_group("merge_guard", "SELECT * FROM textlog", ["doc_id"], "doc_id long, seq long, duplicated boolean", _guard)
+
+
+# --- states from snapshots and tails (E11, G7, G8, G10) --------------------------------------------------------
+def _history(name: str, asked: str, oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        log = prepare(spark).sql(spark_statement("SELECT doc_id, seq AS rev, path, op, value FROM setseq", sf_dir))
+        return history.states(log, history.snapshots(log), spark.sql(spark_statement(asked, sf_dir)))
+
+    QUERIES[name], ORACLES[name] = run, with_logs(oracle, "duckdb")
+
+
+_LAST = "SELECT o.doc_id, q.at, o.path, arg_max(o.value, o.seq) AS value FROM setseq o JOIN q ON q.doc_id = o.doc_id AND o.seq <= q.at GROUP BY o.doc_id, q.at, o.path HAVING arg_max(o.op, o.seq) = 'replace'"
+for _name, _asked in {
+    "document_now": "SELECT doc_id, max(seq) AS at FROM setseq GROUP BY doc_id",
+    "document_states": "SELECT doc_id, seq AS at FROM setseq WHERE seq % 10 = doc_id % 10",
+    "states_before_versions": "SELECT v.doc_id, v.start_rev - 1 AS at FROM versions v WHERE v.start_rev > 1",
+}.items():
+    _history(_name, _asked, f"q AS ({_asked})\n;\n{_LAST}")

@@ -21,6 +21,7 @@ LOGS = {
         CASE event_type WHEN 'signup' THEN 'replace' WHEN 'purchase' THEN '@inc' WHEN 'error' THEN 'remove' WHEN 'view' THEN '@max' ELSE '@min' END AS op,
         k AS value, created_at - (event_id % 7) * 3600000 AS ts, created_at FROM log0""",
     "setlog": "SELECT * FROM oplog WHERE op IN ('replace', 'remove')",
+    "setseq": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS seq, path, op, value FROM setlog",
     "treelog": """SELECT doc_id, seq, event_id AS id, concat('/s', CAST(k % 4 AS STRING), CASE k % 3 WHEN 0 THEN '' ELSE concat('/c', CAST(k % 5 AS STRING)) END) AS path,
         CASE WHEN event_type = 'error' THEN 'remove' ELSE 'replace' END AS op, k AS value, created_at - (event_id % 7) * 3600000 AS ts FROM log0""",
     "changelog": """SELECT doc_id, seq AS rev, seq - 1 AS base_rev, event_id AS id, created_at, concat('c', CAST(event_id % 3 AS STRING)) AS client_id,

@@ -5,7 +5,7 @@ from revloom.plans import registry
 from revloom.sources.logs import with_logs
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject", "lz_round_trip", "text_log", "invert_flat", "frame_prefix", "dedup_batch", "tail_after_version", "append_violations", "gap_report", "client_event_log"]
+SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject", "lz_round_trip", "text_log", "invert_flat", "frame_prefix", "dedup_batch", "tail_after_version", "append_violations", "gap_report", "client_event_log", "ancestors", "lww_parent_shield", "lww_commit", "document_now", "document_states", "states_before_versions"]
 
 
 def rows(frame):
@@ -61,3 +61,17 @@ def test_whole_logs(spark):
             sent.setdefault(client, []).extend((r["created_at"], r["id"], d, r["rev"]) for r in log if r["client_id"] != client and r["rev"] > 5)
     assert got("client_event_log", "client_id", "event_no", "doc_id", "rev") == sorted((c, n, d, r) for c, rows in sent.items() for n, (_, _, d, r) in enumerate(sorted(rows), 1))
 
+
+
+def test_states_read_the_tail_alone(spark):
+    """A state asked of a document reads its log behind the snapshot, and no earlier revisions decide it."""
+    from revloom.operators import history
+
+    log = spark.createDataFrame([(1, r, f"/f{r % 3}", "remove" if r % 7 == 0 else "replace", r) for r in range(1, 104)], "doc_id long, rev long, path string, op string, value long")
+    snaps = history.snapshots(log, 25).cache()
+    for at in (1, 24, 25, 26, 49, 50, 103):
+        want = {}
+        for r in range(1, at + 1):
+            want[f"/f{r % 3}"] = None if r % 7 == 0 else r
+        got = history.states(log.where(f"rev > {at // 25 * 25}"), snaps, spark.createDataFrame([(1, at)], "doc_id long, at long"), 25).collect()
+        assert {r.path: r.value for r in got} == {p: v for p, v in want.items() if v is not None}
