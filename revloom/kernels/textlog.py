@@ -47,3 +47,14 @@ def duplicated(prior: str, changes: list[list[dict]], least: int = 64) -> bool:
         elif len(text) >= least and (before and text in kept or behind.startswith(text)):
             return True
     return False
+
+
+class Compacted(Exception):
+    """A change was made at a revision inside a range that has been composed into one entry."""
+
+
+def guarded(log: list[tuple[int, list[dict]]], ranges: list[tuple[int, int]], rev: int, change: list[dict]) -> list[dict]:
+    """commit(), but for a base strictly inside a compacted range (first, last)."""
+    if any(first <= rev < last for first, last in ranges):
+        raise Compacted(f"revision {rev}")
+    return commit(log, rev, change)

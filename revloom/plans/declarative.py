@@ -212,7 +212,6 @@ add(
         {'n': 1::BIGINT, 'size': 2::BIGINT, 'items': 0::BIGINT}) AS acc FROM changelog GROUP BY doc_id) f""",
 )
 add("split_rev_shift", "SELECT doc_id, rev, rev + coalesce(sum(CAST(ceil({LEN}(ops) / 45.0) AS BIGINT) - 1) OVER (PARTITION BY doc_id ORDER BY rev ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_rev FROM changelog")
-add("oversized_ops", "SELECT doc_id, rev, CASE WHEN {LEN}(ops) > 43 THEN 'value-no-text' ELSE 'fits' END AS reason FROM changelog WHERE {LEN}(ops) > 42")
 
 # --- the flat engine (K1, K3, K7, K8) ---------------------------------------------------------------
 add("micro_merge_set", "SELECT doc_id, path, max_by(value, struct(ts, seq)) AS value FROM oplog WHERE op = 'replace' GROUP BY doc_id, path", "SELECT doc_id, path, arg_max(value, row(ts, seq)) AS value FROM oplog WHERE op = 'replace' GROUP BY doc_id, path")

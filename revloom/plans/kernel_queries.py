@@ -152,6 +152,49 @@ def _micro(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
 _per_group("micro_state", "SELECT * FROM oplog", ["doc_id"], "doc_id long, state string", _micro)
 
 
+def _micro_commit(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    """Each op a change of its own, every ninth of them sent twice."""
+    document = fields.FlatDocument()
+    for i, o, p, v, t in zip(pdf["id"], pdf["op"], pdf["path"], pdf["value"], pdf["ts"]):
+        for _ in range(2 if i % 9 == 0 else 1):
+            document.commit(int(i), {p[1:].replace("/", "."): {"op": "!" if o == "remove" else "=", "val": None if o == "remove" else int(v), "ts": int(t)}})
+    return [(key[0], k, r["op"], r["val"], r["ts"]) for k, r in document.fields.items()]
+
+
+_per_group(
+    "micro_commit",
+    "SELECT * FROM treelog",
+    ["doc_id"],
+    "doc_id long, key string, op string, val long, ts long",
+    _micro_commit,
+    """a AS (SELECT *, ts >= coalesce(max(ts) OVER (PARTITION BY doc_id, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts) AS won FROM treelog),
+  first AS (SELECT doc_id, path, min(seq) AS seq FROM treelog GROUP BY doc_id, path),
+  c AS (SELECT doc_id, path, seq, ts, CASE op WHEN 'remove' THEN '!' ELSE '=' END AS op, CASE op WHEN 'replace' THEN value END AS val FROM treelog
+    UNION ALL SELECT f.doc_id, f.path, a.seq, a.ts, '!', NULL FROM first f JOIN a ON a.doc_id = f.doc_id AND a.won AND starts_with(f.path, a.path || '/') AND a.seq > f.seq)
+;
+SELECT doc_id, replace(substr(path, 2), '/', '.') AS key, op, val, ts FROM c WHERE NOT EXISTS (SELECT 1 FROM c l WHERE l.doc_id = c.doc_id AND l.path = c.path AND (l.ts > c.ts OR l.ts = c.ts AND l.seq > c.seq))""",
+)
+
+
+def _oversized(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    out = []
+    for s, o, p, v in zip(pdf["seq"], pdf["op"], pdf["path"], pdf["value"]):
+        _, why = splitting.op_pieces({"op": o, "path": p} | ({} if o == "remove" else {"value": int(v)}), 34)
+        out += [(key[0], int(s), why)] if why else []
+    return out
+
+
+_per_group(
+    "oversized_ops",
+    "SELECT * FROM oplog",
+    ["doc_id"],
+    "doc_id long, seq long, reason string",
+    _oversized,
+    """SELECT doc_id, seq, CASE WHEN op = 'remove' THEN 'op-type' WHEN op = 'replace' THEN 'value-not-object' ELSE 'delta-op' END AS reason FROM oplog
+      WHERE strlen(concat('{"op":"', op, '","path":"', path, '"', CASE WHEN op = 'remove' THEN '' ELSE concat(',"value":', value) END, '}')) > 34""",
+)
+
+
 # --- operational transform: changes of one document against what was committed beside them (F1 to F9) ---------
 _BY_DOC = "SELECT *, rev AS seq FROM concurrent"
 

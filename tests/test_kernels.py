@@ -92,3 +92,30 @@ def test_pending_texts_and_lists():
     assert fields.flat_pending({"n": {"op": "=", "val": 3, "ts": 1}}, {"n": {"op": "^", "val": 2, "ts": 2}})["n"]["val"] == 3
     stored = {"a": [1, {"b": 2}], "o": {"k": 1}}
     assert fields.flat_state(stored | {"a.1.b": 5, "o.j": 2, "s": 1, "s.x": 2}) == {"a": [1, {"b": 5}], "o": {"k": 1, "j": 2}, "s": {"x": 2}} and stored == {"a": [1, {"b": 2}], "o": {"k": 1}}
+
+
+def test_commits_of_flat_fields():
+    d = fields.FlatDocument()
+    d.commit(1, {"a.b": {"op": "=", "val": 1, "ts": 5}, "a.c": {"op": "=", "val": 2, "ts": 9}})
+    assert d.commit(2, {"a": {"op": "!", "val": None, "ts": 7}}).keys() == {"a", "a.b"} and d.fields["a.b"]["op"] == "!" and d.fields["a.c"]["val"] == 2
+    assert d.rev == 2 and d.commit(2, {"a": {"op": "=", "val": 0, "ts": 99}}).keys() == {"a", "a.b"} and d.rev == 2
+    assert d.commit(3, {"a.c": {"op": "=", "val": 0, "ts": 1}}) == {} and d.rev == 2
+    assert d.effective({"n": {"op": "+", "val": 2, "ts": 10}}, {"n": {"op": "+", "val": 3, "ts": 11}})["n"]["val"] == 5
+
+
+def test_text_commits_inside_a_compacted_range():
+    from revloom.kernels import textlog
+
+    log = [(r, [{"insert": str(r)}]) for r in range(1, 6)]
+    assert textlog.guarded(textlog.compact(log, 3), [(1, 3)], 3, [{"insert": "x"}]) == [{"retain": 2}, {"insert": "x"}]
+    with pytest.raises(textlog.Compacted):
+        textlog.guarded(textlog.compact(log, 3), [(1, 3)], 2, [{"insert": "x"}])
+
+
+def test_long_texts_in_linear_time():
+    import time
+
+    began, text = time.time(), [{"insert": "\n"}]
+    for i in range(400):
+        text = delta.apply_text(text, [*([{"retain": 20 * i}] if i else []), {"insert": "a turn of this text\n"}])
+    assert time.time() - began < 0.2 and delta.length(text[0]) == 8001

@@ -5,7 +5,7 @@ from revloom.plans import registry
 from revloom.sources.logs import with_logs
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject", "lz_round_trip", "text_log", "invert_flat", "frame_prefix", "dedup_batch", "tail_after_version", "append_violations", "gap_report", "client_event_log", "ancestors", "lww_parent_shield", "lww_commit", "document_now", "document_states", "states_before_versions"]
+SOME = ["lww_set_fields", "lww_consolidate_fields", "lww_server_local_merge", "bitmask_fold", "sessions_versions", "latest_main_version", "version_parents", "greedy_batches", "compose_runs", "micro_surviving_children", "cursor_replay", "replay_flat", "text_replay", "ot_commit", "ot_commit_list", "ot_commit_text", "ot_rebase", "ot_eject", "lz_round_trip", "text_log", "invert_flat", "frame_prefix", "dedup_batch", "tail_after_version", "append_violations", "gap_report", "client_event_log", "ancestors", "lww_parent_shield", "lww_commit", "document_now", "document_states", "states_before_versions", "micro_commit", "oversized_ops", "compose_runs"]
 
 
 def rows(frame):
