@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,17 +22,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _groups(batches, by: list[str]):
+    """(key, rows) of each group in a stream of frames ordered by key: one group is held at a time, however many frames it spans."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        keys = pdf[by].to_numpy(object)
+        if held:
+            keys = np.concatenate([held[-1][by].iloc[-1:].to_numpy(object), keys])
+        new = (keys[1:] != keys[:-1]).any(axis=1)
+        cut = [*(np.flatnonzero(new) + (0 if held else 1)).tolist(), len(pdf)]
+        at = 0
+        for end in cut:
+            if end > at:
+                held.append(pdf.iloc[at:end])
+            if end < len(pdf) and held:
+                yield tuple(held[0][c].iat[0] for c in by), held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held = []
+            at = end
+    if held:
+        yield tuple(held[0][c].iat[0] for c in by), held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
 def _per_group(name: str, sql: str, by: list[str], schema: str, make, oracle: str | None = None) -> None:
-    """Rows of a statement, grouped, each group in the order of its seq through make(key, rows) -> list of tuples."""
+    """Rows of a statement, dealt by key and sorted by Spark, each key's in the order of its seq through make(key, rows) -> list of tuples."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = prepare(spark).sql(spark_statement(sql, sf_dir))
 
-        def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(make(key, pdf.sort_values("seq")), columns=names)
+        def walk(batches):
+            out: list[tuple] = []
+            for key, pdf in _groups(batches, by):
+                out += make(key, pdf)
+                if len(out) >= 4096:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
-        return rows.groupBy(*by).applyInPandas(group, schema)
+        return rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInPandas(walk, schema)
 
     QUERIES[name] = run
     if oracle:

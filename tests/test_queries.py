@@ -75,3 +75,16 @@ def test_states_read_the_tail_alone(spark):
             want[f"/f{r % 3}"] = None if r % 7 == 0 else r
         got = history.states(log.where(f"rev > {at // 25 * 25}"), snaps, spark.createDataFrame([(1, at)], "doc_id long, at long"), 25).collect()
         assert {r.path: r.value for r in got} == {p: v for p, v in want.items() if v is not None}
+
+
+def test_groups_of_a_stream():
+    import pandas as pd
+
+    from revloom.plans.kernel_queries import _groups
+
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 4, 5, 5]
+    for size in (1, 2, 3, 4, 11):
+        frames = [pd.DataFrame({"k": keys[i : i + size], "v": range(i, min(len(keys), i + size))}) for i in range(0, len(keys), size)]
+        got = [(k, p["v"].tolist()) for (k,), p in _groups(iter(frames), ["k"])]
+        assert got == [(1, [0, 1, 2]), (2, [3]), (3, [4, 5, 6, 7]), (4, [8]), (5, [9, 10])]
+    assert list(_groups(iter([]), ["k"])) == []
