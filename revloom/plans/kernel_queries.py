@@ -232,10 +232,14 @@ def _changes(pdf: pd.DataFrame) -> list[dict]:
 
 
 def _committed(sent: list[dict]) -> list[dict]:
-    log: list[dict] = []
+    log = transform.Log()
     for q in sent:
-        log, _ = transform.commit(log, [q])
-    return log
+        log.commit([q])
+    return log.changes
+
+
+def _json(ops: list[dict]) -> str:
+    return json.dumps(ops, separators=(",", ":"))
 
 
 def _commit_flat(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -279,25 +283,25 @@ _per_group(
 def _rebased(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     rows = _changes(pdf)
     queue = transform.rebase([c for c in rows if c["rev"] <= 20], [c for c, who in zip(rows, pdf["client_id"]) if who == "c0" and c["rev"] > 10])
-    return [(key[0], q["id"], q["base_rev"], q["rev"]) for q in queue]
+    return [(key[0], q["id"], q["base_rev"], q["rev"], _json(q["ops"])) for q in queue]
 
 
 _per_group(
     "ot_rebase",
     _BY_DOC,
     ["doc_id"],
-    "doc_id long, id long, base_rev long, rev long",
+    "doc_id long, id long, base_rev long, rev long, ops string",
     _rebased,
-    """SELECT c.doc_id, c.id, least(t.tip, 20) AS base_rev, least(t.tip, 20) + row_number() OVER (PARTITION BY c.doc_id ORDER BY c.rev) AS rev
+    """SELECT c.doc_id, c.id, least(t.tip, 20) AS base_rev, least(t.tip, 20) + row_number() OVER (PARTITION BY c.doc_id ORDER BY c.rev) AS rev, c.ops
       FROM concurrent c JOIN tips t ON c.doc_id = t.doc_id WHERE c.client_id = 'c0' AND c.rev > 20""",
 )
 _per_group(
     "ot_eject",
     _BY_DOC,
     ["doc_id"],
-    "doc_id long, id long, rev long",
-    lambda key, pdf: [(key[0], q["id"], q["rev"]) for q in transform.eject({}, _changes(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
-    "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS rev FROM concurrent WHERE rev <> (SELECT least(3, t.tip) FROM tips t WHERE t.doc_id = concurrent.doc_id)",
+    "doc_id long, id long, rev long, ops string",
+    lambda key, pdf: [(key[0], q["id"], q["rev"], _json(q["ops"])) for q in transform.eject({}, _changes(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
+    "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS rev, ops FROM concurrent WHERE rev <> (SELECT least(3, t.tip) FROM tips t WHERE t.doc_id = concurrent.doc_id)",
 )
 
 
