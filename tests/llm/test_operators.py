@@ -343,3 +343,69 @@ def test_nearest_of_very_large_and_small_vectors(spark):
     out = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df).collect()}
     assert out[0, 1] == (5, pytest.approx(1)) and [out[50, k][0] for k in (1, 2, 3)] == [3, 4, 0]
     assert [out[0, k] for k in (2, 3, 4)] == [(i, pytest.approx(0.5**0.5)) for i in (3, 4, 50)]
+
+
+def test_media_columns_against_plain_python(docs):
+    import io
+    import wave
+    import zlib
+
+    rows = media.media_columns(docs, keep_media=True).collect()
+    text = dict((i, t) for i, t, _ in ROWS)
+    for r in rows:
+        raw = (text[r.doc_id] or "").encode()
+        want = raw + bytes((64 - len(raw) % 64) % 64 if raw else 64)
+        with wave.open(io.BytesIO(bytes(r.media))) as w:
+            assert w.readframes(w.getnframes()) == want
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(want), zlib.crc32(want[-64:]))
+        assert (r.payload_sha256, r.media_sha256, r.media_bytes) == (hashlib.sha256(want).hexdigest(), hashlib.sha256(bytes(r.media)).hexdigest(), len(r.media))
+    assert len({r.feature for r in rows if r.doc_id in (4, 5)}) == 1 and len({r.feature for r in rows if r.doc_id in (1, 7)}) == 2
+
+
+def test_shards_of_whole_documents(spark):
+    """Law `bytes` on sf0.01: groups stay together, shards are nearly equal, slots have no gap."""
+    import zlib
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text, rows = {r.doc_id: r.text or "" for r in df.collect()}, sharding.shards(df).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text) and {r.law for r in rows} == {"bytes"} and all(0 <= r.shard < 24 and r.grown_shard is None for r in rows)
+    assert all((r.size, r.text_crc32) == (len(text[r.doc_id].encode()) + 8, zlib.crc32(text[r.doc_id].encode())) for r in rows)
+    assert len({(text[r.doc_id], r.shard) for r in rows}) == len(set(text.values()))
+    total = {s: sum(r.size for r in rows if r.shard == s) for s in range(24)}
+    largest = max(sum(r.size for r in rows if text[r.doc_id] == t) for t in set(text.values()))
+    assert max(total.values()) - min(total.values()) <= max(64, largest - min(total.values()))
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in total)
+
+
+def test_differencing_against_all_partitions():
+    """Two parts of seven numbers: the spread is at most the largest number and no better than the best of all partitions."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(40):
+        sizes = [rng.randrange(1, 60) for _ in range(7)]
+        place = sharding.differencing(sizes, 2)
+        spread = abs(sum(x if p else -x for x, p in zip(sizes, place)))
+        best = min(abs(sum(x if p else -x for x, p in zip(sizes, c))) for c in itertools.product((0, 1), repeat=7))
+        assert best <= spread <= max(sizes)
+
+
+def test_recall_on_whole_embeddings(spark):
+    import numpy as np
+
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.embedding is not None and None not in r.embedding]
+    rows = [(i, v / n) for i, v in rows if np.isfinite(v).all() and (n := np.linalg.norm(v)) > 0]
+    ids, u = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hit = total = 0
+    for q in ids[ids % 50 == 0]:
+        s = u @ u[ids == q][0]
+        s[ids == q] = -2
+        best = np.lexsort((ids, -s))[:5]
+        hit += sum(got[q].get(ids[k], -9) == pytest.approx(s[k], abs=1e-9) for k in best)
+        total += len(best)
+    assert hit >= 0.9 * total
