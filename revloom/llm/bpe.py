@@ -21,6 +21,7 @@ import bisect
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -177,15 +178,19 @@ class Tokenizer:
                 out.append(self.special[part])
                 continue
             plain = part.isascii() and part.isprintable() or not any(c in part for c in "\x1c\x1d\x1e\x1f")
+            known = self.cache.get
             for c in part.split() if plain else self.gap.split(part):
-                ids = self.cache.get(c)
-                if ids is None and c:
+                ids = known(c)
+                if ids is None:
+                    if not c:
+                        continue
                     ids = self.old.get(c)
                     if ids is None:
                         ids = self.chunk(c)
                     if len(c) <= 48:
                         self._keep(c, ids)
-                out += ids or ()
+                    known = self.cache.get  # both may have begun another generation
+                out += ids
         return out
 
     def decode(self, ids) -> str:
@@ -224,7 +229,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             for x in b["text"]:
                 ids = t.encode(x)
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(t.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield out
 
