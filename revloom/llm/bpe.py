@@ -8,8 +8,8 @@ parent in a tree and the arc that it lost. An arc exists unless the state's bran
 lost a left part of its token before the merge that made the next larger part. States visited are tabled.
 
 A pre-split word is encoded by walking its positions: each has one correct tokenization of what stands before it,
-so one state; the token that ends there is the one which an earlier position's state has an arc for. Decoding emits
-the labels of the arcs.
+so one state; the token that ends there is the one which an earlier position's state has an arc for. Which tokens end
+at a position comes from a trie with failure links, a step a byte. Decoding emits the labels of the arcs.
 
 Defined cases: a null text is empty: no tokens, decoded to the empty text. The strings of special tokens
 in a text are those tokens, as in the library. Rows that repeat get equal ids.
@@ -92,6 +92,51 @@ class Automaton:
         return out
 
 
+class Suffixes:
+    """All tokens that end at a position, the longest first: a trie of the tokens' bytes with failure links (Aho and Corasick, 1975).
+
+    step(node, byte) is the next node, 0 the start; inner and final hold a node's (length, token) pairs, final those of
+    tokens that end a word. Steps over failure links are tabled as they come up.
+    """
+
+    def __init__(self, inner: dict[bytes, int], final: dict[bytes, int]):
+        self.table: dict[int, int] = {}
+        ends: list[list[int | None]] = [[None, None]]
+        order: list[tuple[int, int, int, int]] = []  # parent, byte, node, depth
+        for kind, tokens in enumerate((inner, final)):
+            for name, t in tokens.items():
+                node = 0
+                for depth, b in enumerate(name, 1):
+                    below = self.table.get(node << 8 | b)
+                    if below is None:
+                        below = self.table[node << 8 | b] = len(ends)
+                        ends.append([None, None])
+                        order.append((node, b, below, depth))
+                    node = below
+                ends[node][kind] = t
+        self.fail = [0] * len(ends)
+        self.inner: list[tuple] = [()] * len(ends)
+        self.final: list[tuple] = [()] * len(ends)
+        own = dict(self.table)
+        for parent, b, node, depth in sorted(order, key=lambda x: x[3]):
+            up = self.fail[parent]
+            while parent and up and own.get(up << 8 | b) is None:
+                up = self.fail[up]
+            self.fail[node] = up = own.get(up << 8 | b, 0) if parent else 0
+            for found, t in ((self.inner, ends[node][0]), (self.final, ends[node][1])):
+                found[node] = found[up] if t is None else ((depth, t), *found[up])
+        self.room = len(self.table) + 1_000_000
+
+    def step(self, node: int, b: int) -> int:
+        up, out = node, self.table.get(node << 8 | b)
+        while out is None and up:
+            up = self.fail[up]
+            out = self.table.get(up << 8 | b)
+        if len(self.table) < self.room:
+            self.table[node << 8 | b] = out or 0
+        return out or 0
+
+
 def _byte_names() -> list[str]:
     """The printable character that stands for each byte, as byte-level vocabularies name them."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -102,7 +147,7 @@ def _byte_names() -> list[str]:
 class Tokenizer:
     """Word-level BPE with word ends, read from a tokenizers file: encode() and decode()."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -124,32 +169,36 @@ class Tokenizer:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.gap = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.bytes = _byte_names()
-        self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(END)}
-        self.final = {t[: -len(END)]: i for t, i in self.vocab.items() if t.endswith(END)}
-        self.longest = max(map(len, self.vocab))
+        byte = {c: b for b, c in enumerate(_byte_names())}
+        inner, final = ({bytes(byte[c] for c in t.removesuffix(END)): i for t, i in self.vocab.items() if t not in self.special and t.endswith(END) == ends} for ends in (False, True))
+        if any(bytes([b]) not in tokens for b in range(256) for tokens in (inner, final)):
+            raise ValueError(f"{path}: a vocabulary without a token for each byte")
+        self.suffixes = Suffixes(inner, final)
         self.cache, self.old, self.room = {}, {}, cache
 
     def word(self, word: str) -> list[int]:
         """The ids of a pre-split word, already normalised."""
-        s = word if word.isascii() and word.isprintable() else "".join(self.bytes[b] for b in word.encode("utf-8", "surrogatepass"))
-        n, to, table = len(s), self.automaton.to, self.automaton.table
-        states, back = [0] + [-1] * n, [None] * (n + 1)
-        for i in range(1, n + 1):
-            known = self.inner if i < n else self.final
-            for j in range(max(0, i - self.longest), i):
-                t = known.get(s[j:i])
-                if t is not None and states[j] >= 0:
-                    x = table.get(states[j] << 20 | t)
-                    if x is None:
-                        x = to(states[j], t)
-                    if x >= 0:
-                        states[i], back[i] = x, (j, t)
-                        break
-        out, i = [], n
+        to, table, step, steps, inner = self.automaton.to, self.automaton.table, self.suffixes.step, self.suffixes.table, self.suffixes.inner
+        data = word.encode("utf-8", "surrogatepass")
+        last = len(data) - 1
+        node, states, back = 0, [0], [(0, 0)]
+        for i, b in enumerate(data):
+            below = steps.get(node << 8 | b)
+            node = step(node, b) if below is None else below
+            for found in inner[node] if i < last else self.suffixes.final[node]:
+                size, t = found
+                x = table.get(states[-size] << 20 | t)
+                if x is None:
+                    x = to(states[-size], t)
+                if x >= 0:
+                    states.append(x)
+                    back.append(found)
+                    break
+        out, i = [], len(data)
         while i:
-            i, t = back[i]
+            size, t = back[i]
             out.append(t)
+            i -= size
         return out[::-1]
 
     def chunk(self, chunk: str) -> list[int]:

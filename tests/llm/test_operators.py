@@ -409,3 +409,18 @@ def test_recall_on_whole_embeddings(spark):
         hit += sum(got[q].get(ids[k], -9) == pytest.approx(s[k], abs=1e-9) for k in best)
         total += len(best)
     assert hit >= 0.9 * total
+
+
+def test_suffixes_like_brute_force():
+    import random
+
+    r = random.Random(3)
+    inner = {bytes(r.choices(b"abc", k=r.randint(1, 5))): i for i in range(60)}
+    final = {bytes(r.choices(b"abc", k=r.randint(1, 5))): 100 + i for i in range(60)}
+    suffixes = bpe.Suffixes(inner, final)
+    for _ in range(2):  # the second time from the table
+        node, seen = 0, b""
+        for b in r.choices(b"abcd", k=5000):
+            node, seen = suffixes.step(node, b), (seen + bytes([b]))[-5:]
+            for found, tokens in ((suffixes.inner[node], inner), (suffixes.final[node], final)):
+                assert list(found) == [(n, tokens[seen[-n:]]) for n in range(len(seen), 0, -1) if seen[-n:] in tokens]
