@@ -58,3 +58,41 @@ def guarded(log: list[tuple[int, list[dict]]], ranges: list[tuple[int, int]], re
     if any(first <= rev < last for first, last in ranges):
         raise Compacted(f"revision {rev}")
     return commit(log, rev, change)
+
+
+def rebase_pending(pending: list[dict], log: list[tuple[int, list[dict]]], own: int | None = None) -> list[dict]:
+    """A text that waits, behind a log's entries (rev, delta), which come first; the entry of the own last commit is in it already."""
+    for r, earlier in log:
+        if r != own:
+            pending = delta.transform(earlier, pending, True)
+    return pending
+
+
+class Held:
+    """A text field at a client: revision, the delta on its way, and the one behind it. None stands for no delta."""
+
+    def __init__(self, rev: int = 0, sending: list[dict] | None = None, pending: list[dict] | None = None):
+        self.rev, self.sending, self.pending, self.lost = rev, sending, pending, False
+
+    def receive(self, rev: int, change: list[dict]) -> list[dict] | None:
+        """Another client's delta: what it does to the shown text, or None where it is old or a revision before it is missing."""
+        if rev <= self.rev:
+            return None
+        if rev > self.rev + 1:
+            self.lost = True
+            return None
+        self.rev, through = rev, change
+        for name in ("sending", "pending"):
+            mine = getattr(self, name)
+            if mine is not None:
+                setattr(self, name, delta.transform(through, mine, True))
+                through = delta.transform(mine, through, False)
+        return through
+
+    def resync(self, rev: int, log: list[tuple[int, list[dict]]], own: int | None = None) -> None:
+        """A server's log since the revision that is held, entry `own` being the own last commit."""
+        for name in ("sending", "pending"):
+            mine = getattr(self, name)
+            if mine is not None:
+                setattr(self, name, rebase_pending(mine, log, own))
+        self.rev, self.lost = max(self.rev, rev), False

@@ -43,8 +43,8 @@ def _groups(batches, by: list[str]):
         yield tuple(held[0][c].iat[0] for c in by), held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
-def _per_group(name: str, sql: str, by: list[str], schema: str, make, oracle: str | None = None) -> None:
-    """Rows of a statement, dealt by key and sorted by Spark, each key's in the order of its seq through make(key, rows) -> list of tuples."""
+def per_group(name: str, sql: str, by: list[str], schema: str, make, oracle: str | None = None, queries: dict = QUERIES, oracles: dict = ORACLES) -> None:
+    """Rows of a statement, dealt by key and sorted by Spark, each key's in the order of its seq through make(key, rows) -> list of tuples. It goes into `queries` and `oracles`."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,16 +61,16 @@ def _per_group(name: str, sql: str, by: list[str], schema: str, make, oracle: st
 
         return rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInPandas(walk, schema)
 
-    QUERIES[name] = run
+    queries[name] = run
     if oracle:
-        ORACLES[name] = with_logs(oracle, "duckdb")
+        oracles[name] = with_logs(oracle, "duckdb")
 
 
 def _ops(pdf: pd.DataFrame) -> list[dict]:
     return [{"op": o, "path": p, "ts": int(t)} | ({} if o == "remove" else {"value": int(v)}) for o, p, v, t in zip(pdf["op"], pdf["path"], pdf["value"], pdf["ts"])]
 
 
-_per_group(
+per_group(
     "lww_tree_fields",
     "SELECT *, split(path, '/')[1] AS shard FROM treelog",
     ["doc_id", "shard"],
@@ -88,7 +88,7 @@ def _lww_commit(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], r["path"], r["op"], r.get("value"), r["ts"], r["rev"], document.rev) for r in document.table.rows()]
 
 
-_per_group(
+per_group(
     "lww_commit",
     "SELECT * FROM setlog",
     ["doc_id"],
@@ -109,7 +109,7 @@ def _flat(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], f"/{k}", v) for k, v in state.items()]
 
 
-_per_group(
+per_group(
     "replay_flat",
     "SELECT * FROM setlog",
     ["doc_id"],
@@ -126,7 +126,7 @@ def _round_trip(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], len(ops), len(patch.compose(ops)), patch.same(patch.apply(done, undo), {}), patch.same(patch.apply({}, patch.compose(ops)), done))]
 
 
-_per_group(
+per_group(
     "invert_and_compose",
     "SELECT * FROM oplog",
     ["doc_id"],
@@ -144,7 +144,7 @@ def _text(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], len(pdf), delta.plain(state["body"]))]
 
 
-_per_group(
+per_group(
     "text_replay",
     "SELECT * FROM textlog",
     ["doc_id"],
@@ -153,14 +153,14 @@ _per_group(
     "SELECT doc_id, count(*) AS turns, string_agg(coalesce(text, ''), chr(10) ORDER BY seq) || chr(10) || chr(10) AS body FROM textlog GROUP BY doc_id",
 )
 
-_per_group(
+per_group(
     "order_keys",
     "SELECT doc_id, rev AS seq, id FROM changelog",
     ["doc_id"],
     "doc_id long, pos long, key string",
     lambda key, pdf: [(key[0], i, k) for i, k in enumerate(ordering.spread("a0", "a1", len(pdf)), 1)],
 )
-_per_group(
+per_group(
     "healed_orders",
     "SELECT doc_id, rev AS seq, id, concat('a', CAST(k % 10 AS STRING)) AS ord FROM changelog",
     ["doc_id"],
@@ -177,7 +177,7 @@ def _micro(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], json.dumps(fields.flat_state({k: r["val"] for k, r in rows.items()}), sort_keys=True, separators=(",", ":")))]
 
 
-_per_group("micro_state", "SELECT * FROM oplog", ["doc_id"], "doc_id long, state string", _micro)
+per_group("micro_state", "SELECT * FROM oplog", ["doc_id"], "doc_id long, state string", _micro)
 
 
 def _micro_commit(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -189,7 +189,7 @@ def _micro_commit(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], k, r["op"], r["val"], r["ts"]) for k, r in document.fields.items()]
 
 
-_per_group(
+per_group(
     "micro_commit",
     "SELECT * FROM treelog",
     ["doc_id"],
@@ -212,7 +212,7 @@ def _oversized(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return out
 
 
-_per_group(
+per_group(
     "oversized_ops",
     "SELECT * FROM oplog",
     ["doc_id"],
@@ -227,7 +227,7 @@ _per_group(
 _BY_DOC = "SELECT *, rev AS seq FROM concurrent"
 
 
-def _changes(pdf: pd.DataFrame) -> list[dict]:
+def changes_of(pdf: pd.DataFrame) -> list[dict]:
     return [{"id": int(i), "rev": int(r), "base_rev": int(b), "ops": json.loads(o)} for i, r, b, o in zip(pdf["id"], pdf["rev"], pdf["sent_base"], pdf["ops"])]
 
 
@@ -238,28 +238,28 @@ def _committed(sent: list[dict]) -> list[dict]:
     return log.changes
 
 
-def _json(ops: list[dict]) -> str:
+def json_of(ops: list[dict]) -> str:
     return json.dumps(ops, separators=(",", ":"))
 
 
 def _commit_flat(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     state: dict = {}
-    for c in _committed(_changes(pdf)):
+    for c in _committed(changes_of(pdf)):
         state = patch.apply(state, c["ops"], strict=True)
     return [(key[0], f"/{k}", v) for k, v in state.items()]
 
 
-_per_group("ot_commit", _BY_DOC, ["doc_id"], "doc_id long, path string, value long", _commit_flat, "SELECT doc_id, path, arg_max(k, rev) AS value FROM concurrent GROUP BY doc_id, path")
+per_group("ot_commit", _BY_DOC, ["doc_id"], "doc_id long, path string, value long", _commit_flat, "SELECT doc_id, path, arg_max(k, rev) AS value FROM concurrent GROUP BY doc_id, path")
 
 
 def _commit_list(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     state: dict = {"l": []}
-    for c in _committed([q | {"ops": [{"op": "add", "path": "/l/0", "value": q["id"]}]} for q in _changes(pdf)]):
+    for c in _committed([q | {"ops": [{"op": "add", "path": "/l/0", "value": q["id"]}]} for q in changes_of(pdf)]):
         state = patch.apply(state, c["ops"], strict=True)
     return [(key[0], i, v) for i, v in enumerate(state["l"], 1)]
 
 
-_per_group("ot_commit_list", _BY_DOC, ["doc_id"], "doc_id long, pos long, id long", _commit_list, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rev DESC) AS pos, id FROM concurrent")
+per_group("ot_commit_list", _BY_DOC, ["doc_id"], "doc_id long, pos long, id long", _commit_list, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rev DESC) AS pos, id FROM concurrent")
 
 
 def _commit_text(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -270,7 +270,7 @@ def _commit_text(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], delta.plain(state["body"]))]
 
 
-_per_group(
+per_group(
     "ot_commit_text",
     "SELECT * FROM textlog",
     ["doc_id"],
@@ -281,12 +281,12 @@ _per_group(
 
 
 def _rebased(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-    rows = _changes(pdf)
+    rows = changes_of(pdf)
     queue = transform.rebase([c for c in rows if c["rev"] <= 20], [c for c, who in zip(rows, pdf["client_id"]) if who == "c0" and c["rev"] > 10])
-    return [(key[0], q["id"], q["base_rev"], q["rev"], _json(q["ops"])) for q in queue]
+    return [(key[0], q["id"], q["base_rev"], q["rev"], json_of(q["ops"])) for q in queue]
 
 
-_per_group(
+per_group(
     "ot_rebase",
     _BY_DOC,
     ["doc_id"],
@@ -295,24 +295,24 @@ _per_group(
     """SELECT c.doc_id, c.id, least(t.tip, 20) AS base_rev, least(t.tip, 20) + row_number() OVER (PARTITION BY c.doc_id ORDER BY c.rev) AS rev, c.ops
       FROM concurrent c JOIN tips t ON c.doc_id = t.doc_id WHERE c.client_id = 'c0' AND c.rev > 20""",
 )
-_per_group(
+per_group(
     "ot_eject",
     _BY_DOC,
     ["doc_id"],
     "doc_id long, id long, rev long, ops string",
-    lambda key, pdf: [(key[0], q["id"], q["rev"], _json(q["ops"])) for q in transform.eject({}, _changes(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
+    lambda key, pdf: [(key[0], q["id"], q["rev"], json_of(q["ops"])) for q in transform.eject({}, changes_of(pdf), int(pdf["id"].iloc[min(2, len(pdf) - 1)]))],
     "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rev) AS rev, ops FROM concurrent WHERE rev <> (SELECT least(3, t.tip) FROM tips t WHERE t.doc_id = concurrent.doc_id)",
 )
 
 
 def _frame(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     """A branch's foreign op lists advanced through its own queue, which is then discarded (H12)."""
-    rows = _changes(pdf)
+    rows = changes_of(pdf)
     _, ahead = transform.behind([c for c in rows if c["id"] % 2], [c for c in rows if not c["id"] % 2])
     return [(key[0], len(ahead), sum(map(len, ahead)))]
 
 
-_per_group("frame_advance", _BY_DOC, ["doc_id"], "doc_id long, programs long, n_ops long", _frame)
+per_group("frame_advance", _BY_DOC, ["doc_id"], "doc_id long, programs long, n_ops long", _frame)
 
 
 def _reconstruct(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -327,7 +327,7 @@ def _reconstruct(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return out
 
 
-_per_group("skipped_changes", "SELECT *, rev AS seq FROM changelog", ["doc_id"], "doc_id long, rev long, error string", _reconstruct)
+per_group("skipped_changes", "SELECT *, rev AS seq FROM changelog", ["doc_id"], "doc_id long, rev long, error string", _reconstruct)
 
 
 # --- sizes, splitting, compression, text logs and the merge guard (J1 to J10, K5, K6, H7) ----------------------------
@@ -345,7 +345,7 @@ def _split(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], len(changes), len(parts), len(report), delta.plain(state["body"]))]
 
 
-_per_group("split_changes", "SELECT * FROM textlog", ["doc_id"], "doc_id long, changes long, pieces long, oversized long, body string", _split)
+per_group("split_changes", "SELECT * FROM textlog", ["doc_id"], "doc_id long, changes long, pieces long, oversized long, body string", _split)
 
 
 def _packed(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -356,7 +356,7 @@ def _packed(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return out
 
 
-_per_group("lz_round_trip", "SELECT *, rev AS seq FROM changelog", ["doc_id"], "doc_id long, rev long, alike boolean, ops string", _packed, "SELECT doc_id, rev, TRUE AS alike, ops FROM changelog")
+per_group("lz_round_trip", "SELECT *, rev AS seq FROM changelog", ["doc_id"], "doc_id long, rev long, alike boolean, ops string", _packed, "SELECT doc_id, rev, TRUE AS alike, ops FROM changelog")
 
 
 def _text_log(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -367,7 +367,7 @@ def _text_log(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], rev, delta.plain(whole))]
 
 
-_per_group(
+per_group(
     "text_log",
     "SELECT * FROM textlog",
     ["doc_id"],
@@ -383,7 +383,7 @@ def _guard(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
     return [(key[0], int(s), textlog.duplicated(first, [[{"insert": t or ""}]])) for s, t in zip(pdf["seq"], pdf["text"])]
 
 
-_per_group("merge_guard", "SELECT * FROM textlog", ["doc_id"], "doc_id long, seq long, duplicated boolean", _guard)
+per_group("merge_guard", "SELECT * FROM textlog", ["doc_id"], "doc_id long, seq long, duplicated boolean", _guard)
 
 
 # --- states from snapshots and tails (E11, G7, G8, G10) --------------------------------------------------------
