@@ -22,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _groups(batches, by: list[str]):
+def groups_of(batches, by: list[str]):
     """(key, rows) of each group in a stream of frames ordered by key: one group is held at a time, however many frames it spans."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -52,7 +52,7 @@ def per_group(name: str, sql: str, by: list[str], schema: str, make, oracle: str
 
         def walk(batches):
             out: list[tuple] = []
-            for key, pdf in _groups(batches, by):
+            for key, pdf in groups_of(batches, by):
                 out += make(key, pdf)
                 if len(out) >= 4096:
                     yield pd.DataFrame(out, columns=names)
