@@ -80,11 +80,11 @@ def test_states_read_the_tail_alone(spark):
 def test_groups_of_a_stream():
     import pandas as pd
 
-    from revloom.plans.kernel_queries import _groups
+    from revloom.plans.kernel_queries import groups_of
 
     keys = [1, 1, 1, 2, 3, 3, 3, 3, 4, 5, 5]
     for size in (1, 2, 3, 4, 11):
         frames = [pd.DataFrame({"k": keys[i : i + size], "v": range(i, min(len(keys), i + size))}) for i in range(0, len(keys), size)]
-        got = [(k, p["v"].tolist()) for (k,), p in _groups(iter(frames), ["k"])]
+        got = [(k, p["v"].tolist()) for (k,), p in groups_of(iter(frames), ["k"])]
         assert got == [(1, [0, 1, 2]), (2, [3]), (3, [4, 5, 6, 7]), (4, [8]), (5, [9, 10])]
-    assert list(_groups(iter([]), ["k"])) == []
+    assert list(groups_of(iter([]), ["k"])) == []
