@@ -256,6 +256,28 @@ def test_near_components_against_brute_force(spark, kind):
     assert got == want
 
 
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components_of_chains_and_hubs(spark, monkeypatch, at_once):
+    """Both ways give each id the smallest that links reach; few links take a count and one task, no rounds of joins."""
+    import random
+
+    from revloom.llm import common
+
+    rng, stored = random.Random(5), []
+    monkeypatch.setattr(common, "store", lambda df, store=common.store: stored.append(1) or store(df))
+    chain = rng.sample(range(1000), 300)
+    links = list(zip(chain, chain[1:])) + [(2000, i) for i in range(2001, 2200)] + [(i, 1999) for i in range(2100, 2150)]
+    links += [(rng.randrange(-3000, -2000), rng.randrange(-3000, -2000)) for _ in range(700)] + [(5000, 5000), (5001, 5002), (5002, 5001), (5001, 5002)]
+    label = {i: i for link in links for i in link}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    out = common.components(spark.createDataFrame(links, "a long, b long"), at_once).collect()
+    assert sorted(map(tuple, out)) == sorted((i, r) for i, r in label.items() if i != r)
+    assert at_once == 0 or len(stored) == 2
+    assert common.components(spark.createDataFrame([], "a long, b long"), at_once).count() == 0
+
+
 def _base_spans(text):
     """The contract's base spans by Python's regular expressions: (start, kind, end)."""
     out = []
