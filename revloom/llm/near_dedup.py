@@ -24,10 +24,13 @@ What sketches call near makes clusters. All sets of a cluster of at most BLOCK s
 sets, each shipped once, by one task. In larger clusters candidate pairs are confirmed in two rounds: each set with the nearest and the nearest centre first, then those
 that aren't in one component yet. In the second round a set near a component of more than SMALL is also compared with its CENTRES exact centres:
 the members nearest to the shingles that most members have, among which is the text that all others were made from, if it is there.
+At last all sets outside a cluster's largest component are compared with all of the cluster, in blocks of BLOCK sets: first sketches, then
+the full sets of those that are near a set of another component. So a cluster loses no link that the sketch doesn't; the work grows with
+the size of the cluster times the number of sets outside its largest component.
 
 Recall: a pair with similarity 0.8 shares at least one of TREES = 8 roots but for 0.2^8 = 3e-6, and the sketch loses a pair
-with 1e-5. In nodes of at most SMALL and in clusters of at most BLOCK that is all. Beyond, two sets farther than CORE from the centre share a child
-with probability 0.96; of a pair with a set within CORE no bound is proven. tests/llm hold the components against brute force on groups of near
+with 1e-5. In nodes of at most SMALL, and of two sets of one cluster, that is all. In larger nodes the sets nearer than FAR to the centre, whose size
+is near its own, are one cluster; of others, two farther than CORE from the centre share a child with probability 0.96, and of a pair with a set within CORE no bound is proven. tests/llm hold the components against brute force on groups of near
 copies, of ever shorter copies and of texts made from few frequent lines; README has where links are lost.
 
 A class of equal sets is told by two 64-bit sums and the size, and links are tested on 64-bit hashes of shingles, not on their words.
@@ -265,8 +268,82 @@ def _within(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return member.select("cid", "root").join(sets, "cid").groupBy("root").applyInPandas(compare, "id long, root long")
 
 
-def _among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, root) by the links among the pairs (a, b, d, star), in two rounds."""
+def _crossed(percent: int):
+    """Of sets and those outside the largest component (odd), who has to be compared on full sets: near ones of two components."""
+
+    def make(group):
+        odd = group["odd"].to_numpy(bool)
+        x, y = group[odd], group[~odd]
+        far = sum(np.bitwise_count(x[c].to_numpy()[:, None] ^ y[c].to_numpy()).astype(np.int64) for c in ("b1", "b2"))
+        n, m = x["n_shingles"].to_numpy()[:, None], y["n_shingles"].to_numpy()
+        ok = (far <= FAR) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (x["top"].to_numpy()[:, None] != y["top"].to_numpy())
+        keep = odd.copy()
+        keep[odd], keep[~odd] = ok.any(1), ok.any(0)
+        return group.loc[keep, ["cluster", "i", "j", "odd", "cid", "top"]]
+
+    return make
+
+
+def _linked(percent: int):
+    """(a, b) of the components that links join between the sets of a group and its odd ones."""
+
+    def make(group):
+        import pandas as pd
+
+        odd = group["odd"].to_numpy(bool)
+        x, y = group[odd], group[~odd]
+        sides = [(g["items"].tolist(), np.array([len(i) for i in g["items"]], np.int64)) for g in (x, y)]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        flat = [np.concatenate(items) for items, _ in sides]
+        both = np.intersect1d(*flat)
+        at = []
+        for f, (_, size) in zip(flat, sides):
+            row, known = np.repeat(np.arange(len(size)), size), np.isin(f, both)
+            column = np.searchsorted(both, f[known])
+            order = np.argsort(column, kind="stable")
+            at.append((row[known][order], column[order]))
+        shared = np.zeros((len(x), len(y)), np.float32)
+        for lo in range(0, len(both), 8192):
+            part = []
+            for (row, column), n in zip(at, shared.shape):
+                a, b = np.searchsorted(column, [lo, lo + 8192])
+                m = np.zeros((n, min(8192, len(both) - lo)), np.float32)
+                m[row[a:b], column[a:b] - lo] = 1
+                part.append(m)
+            shared += part[0] @ part[1].T
+        common = shared.astype(np.int64)
+        i, j = np.nonzero(100 * common >= percent * (sides[0][1][:, None] + sides[1][1] - common))
+        pairs = pd.DataFrame({"a": x["top"].to_numpy()[i], "b": y["top"].to_numpy()[j]}, dtype="int64")
+        return pairs[pairs.a != pairs.b].drop_duplicates()
+
+    return make
+
+
+def _between(part: DataFrame, look: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the components that links join within the clusters of part (cid, cluster, top).
+
+    All sets outside a cluster's largest component are compared with all of the cluster, a block by a block in a task:
+    first sketches, then the full sets of those that are near one of another component.
+    """
+    per = store(part.join(look, "cid"))
+    tops = per.groupBy("cluster", "top").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("cluster")
+    deal = tops.agg(F.max(F.struct("n", "top", "s")).alias("x"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > x.n")
+    blocks = f"CAST(ceil(greatest(({{0}}) / {BLOCK}, ({{1}}) / {SHINGLES})) AS INT)"
+    deal = deal.selectExpr("cluster", "x.top AS most", f"{blocks.format('n - x.n', 's - x.s')} AS k", f"{blocks.format('n', 's')} AS m")
+    per, stored = per.join(deal, "cluster"), per
+    columns = ["cluster", "cid", "top", "n_shingles", "b1", "b2"]
+    every = per.selectExpr(*columns, "FALSE AS odd", "explode(sequence(0, k - 1)) AS i", "CAST(pmod(xxhash64(cid), m) AS INT) AS j")
+    odd = per.where("top <> most").selectExpr(*columns, "TRUE AS odd", "CAST(pmod(xxhash64(cid), k) AS INT) AS i", "explode(sequence(0, m - 1)) AS j")
+    keys = ["cluster", "i", "j"]
+    near = store(every.union(odd).groupBy(*keys).applyInPandas(_crossed(percent), "cluster long, i int, j int, odd boolean, cid long, top long"))
+    out = store(near.join(sets, "cid").groupBy(*keys).applyInPandas(_linked(percent), "a long, b long").distinct())
+    discard(stored, near)
+    return out
+
+
+def _among(pairs: DataFrame, member: DataFrame, look: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, root) of the clusters member (cid, root): by the links among the pairs (a, b, d, star), in two rounds, then by all others."""
     both = pairs.union(pairs.selectExpr("b", "a", "d", "star"))
     nearest = both.groupBy("a", "star").agg(F.min_by("b", "d").alias("b")).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     roots = components(_similar(nearest, sets, percent))
@@ -279,8 +356,11 @@ def _among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     again = store(rest.union(near).distinct())
     more = components(_similar(again.select("a", "b"), sets, percent).join(again, ["a", "b"]).selectExpr("ra AS a", "rb AS b"))
     every = roots.union(roots.select("root", "root")).union(more.selectExpr("id", "id AS root")).groupBy("id").agg(F.min("root").alias("root"))
-    out = store(every.join(more.selectExpr("id AS root", "root AS top"), "root", "left").selectExpr("id", "coalesce(top, root) AS root"))
-    discard(rest, again)
+    found = every.join(more.selectExpr("id AS root", "root AS top"), "root", "left").selectExpr("id AS cid", "coalesce(top, root) AS top")
+    part = store(member.join(found, "cid", "left").selectExpr("cid", "root AS cluster", "coalesce(top, cid) AS top"))
+    last = components(_between(part, look, sets, percent))
+    out = store(part.join(last.selectExpr("id AS top", "root"), "top", "left").selectExpr("cid AS id", "coalesce(root, top) AS root"))
+    discard(rest, again, part)
     return out
 
 
@@ -302,7 +382,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     roots = _within(dealt.where("NOT large"), sets, percent)
     rest = store(pairs.join(dealt.where("large").selectExpr("cid AS a"), "a", "left_semi"))
     if not rest.isEmpty():
-        roots = roots.union(_among(rest, sets, percent))
+        roots = roots.union(_among(rest, dealt.where("large").select("cid", "root"), reps.select("cid", "n_shingles", "b1", "b2"), sets, percent))
     named = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = store(named.join(least, "root").select(*keys, "component_id"))

@@ -256,6 +256,21 @@ def test_near_components_against_brute_force(spark, kind):
     assert got == want
 
 
+def test_near_components_of_a_large_cluster(spark, monkeypatch):
+    """Clusters of over BLOCK sets: copies that go apart, and texts just near enough to some of them, keep all their links."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    rng = random.Random(3)
+    base, texts = [f"b{i}" for i in range(150)], {}
+    for i in range(600):
+        texts[i] = " ".join(w if rng.random() > 0.025 else f"{w}x{rng.randrange(3)}" for w in base)
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=4).collect()
+    want = _components(texts)
+    assert len(set(want.values())) > 1 and max(map(list(want.values()).count, set(want.values()))) > 200
+    assert {r.doc_id: r.component_id for r in out} == want
+
+
 @pytest.mark.parametrize("at_once", [0, 1_000_000])
 def test_components_of_chains_and_hubs(spark, monkeypatch, at_once):
     """Both ways give each id the smallest that links reach; few links take a count and one task, no rounds of joins."""
